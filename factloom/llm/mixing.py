@@ -3,7 +3,8 @@
 A source's documents all want target / size copies of themselves. Whole copies are certain; the fractions left are paired
 and, by a hash of the documents, words move from one to the other until one fraction is 0 or 1, so that a source's
 expected words never change. Buckets of about FAN documents are rounded side by side, each leaving at most one fraction;
-those meet in the next level of a reduction tree, and the last one of a source is rounded on its own.
+those meet in the next level of a reduction tree. The last fraction of a source goes to the nearer whole
+number, so that the source misses its target by half of that document at most.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 times; null is a source, ordered last; rows that
 agree in doc_id and text are taken each on its own; no words at all give targets of 0; other columns are ignored by
@@ -26,21 +27,21 @@ BROADCAST_SOURCES = 100_000
 #: Pairs the fraction carried so far (s.c) with the next (x); the integral one goes to s.done, the other is carried on.
 _ROUND = """
 aggregate(items, named_struct('done', cast(array() AS array<struct<doc_id: bigint, v: bigint, rn: int, size: bigint, bit: int>>),
-                              'c', cast(NULL AS struct<h: bigint, doc_id: bigint, v: bigint, rn: int, size: bigint, p: double, u: double>)),
+                              'c', cast(NULL AS struct<s: bigint, h: bigint, doc_id: bigint, v: bigint, rn: int, size: bigint, p: double, u: double>)),
   (s, x) -> CASE WHEN s.c IS NULL THEN named_struct('done', s.done, 'c', x) ELSE
     transform(array(named_struct('give', least(s.c.size * s.c.p, x.size * (1 - x.p)), 'take', least(s.c.size * (1 - s.c.p), x.size * x.p))), m ->
       CASE WHEN x.u * (m.give + m.take) < m.take THEN
         CASE WHEN s.c.size * s.c.p <= x.size * (1 - x.p)
           THEN named_struct('done', array_append(s.done, named_struct('doc_id', s.c.doc_id, 'v', s.c.v, 'rn', s.c.rn, 'size', s.c.size, 'bit', 0)),
-                            'c', named_struct('h', x.h, 'doc_id', x.doc_id, 'v', x.v, 'rn', x.rn, 'size', x.size, 'p', x.p + m.give / x.size, 'u', x.u))
+                            'c', named_struct('s', x.s, 'h', x.h, 'doc_id', x.doc_id, 'v', x.v, 'rn', x.rn, 'size', x.size, 'p', x.p + m.give / x.size, 'u', x.u))
           ELSE named_struct('done', array_append(s.done, named_struct('doc_id', x.doc_id, 'v', x.v, 'rn', x.rn, 'size', x.size, 'bit', 1)),
-                            'c', named_struct('h', s.c.h, 'doc_id', s.c.doc_id, 'v', s.c.v, 'rn', s.c.rn, 'size', s.c.size, 'p', s.c.p - m.give / s.c.size, 'u', s.c.u)) END
+                            'c', named_struct('s', s.c.s, 'h', s.c.h, 'doc_id', s.c.doc_id, 'v', s.c.v, 'rn', s.c.rn, 'size', s.c.size, 'p', s.c.p - m.give / s.c.size, 'u', s.c.u)) END
       ELSE
         CASE WHEN s.c.size * (1 - s.c.p) <= x.size * x.p
           THEN named_struct('done', array_append(s.done, named_struct('doc_id', s.c.doc_id, 'v', s.c.v, 'rn', s.c.rn, 'size', s.c.size, 'bit', 1)),
-                            'c', named_struct('h', x.h, 'doc_id', x.doc_id, 'v', x.v, 'rn', x.rn, 'size', x.size, 'p', x.p - m.take / x.size, 'u', x.u))
+                            'c', named_struct('s', x.s, 'h', x.h, 'doc_id', x.doc_id, 'v', x.v, 'rn', x.rn, 'size', x.size, 'p', x.p - m.take / x.size, 'u', x.u))
           ELSE named_struct('done', array_append(s.done, named_struct('doc_id', x.doc_id, 'v', x.v, 'rn', x.rn, 'size', x.size, 'bit', 0)),
-                            'c', named_struct('h', s.c.h, 'doc_id', s.c.doc_id, 'v', s.c.v, 'rn', s.c.rn, 'size', s.c.size, 'p', s.c.p + m.take / s.c.size, 'u', s.c.u)) END
+                            'c', named_struct('s', s.c.s, 'h', s.c.h, 'doc_id', s.c.doc_id, 'v', s.c.v, 'rn', s.c.rn, 'size', s.c.size, 'p', s.c.p + m.take / s.c.size, 'u', s.c.u)) END
       END)[0] END)
 """
 
@@ -85,7 +86,7 @@ def plan(docs: DataFrame) -> DataFrame:
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("want", want).withColumn("whole", F.floor(F.col("want") + 1e-12)).withColumn("p", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
     open_ = (F.col("p") > 1e-12) & (F.col("size") > 0)
-    item = lambda level: F.struct(F.xxhash64(F.lit(SEED + 1), F.lit(level), "doc_id", "v", "rn").alias("h"), "doc_id", "v", "rn", "size", "p", _chance(F.lit(level)).alias("u"))
+    item = lambda level: F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(SEED + 1), F.lit(level), "doc_id", "v", "rn").alias("h"), "doc_id", "v", "rn", "size", "p", _chance(F.lit(level)).alias("u"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN))
     left = joined.where(open_).select("g", F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id", "v", "rn"), buckets).alias("bucket"), item(0).alias("item"))
     most = (sources.agg(F.max("n")).first()[0] or 1) // FAN + 1
@@ -93,12 +94,12 @@ def plan(docs: DataFrame) -> DataFrame:
     while True:
         folded = cut(left.groupBy("g", "bucket").agg(F.array_sort(F.collect_list("item")).alias("items")).select("g", "bucket", F.expr(_ROUND).alias("s")))
         bits.append(folded.select("g", F.explode("s.done").alias("d")).select("g", "d.doc_id", "d.v", "d.rn", "d.bit"))
-        rest = folded.select("g", "bucket", "s.c.*").where(F.col("rn").isNotNull()).drop("h", "u")
+        rest = folded.select("g", "bucket", "s.c.*").where(F.col("rn").isNotNull()).drop("s", "h", "u")
         if most <= 1:
             break
         most, level = (most - 1) // FAN + 1, level + 1
         left = rest.select("g", F.expr(f"bucket div {FAN}").alias("bucket"), item(level).alias("item"))
-    bits.append(rest.select("g", "doc_id", "v", "rn", (_chance(F.lit(-1)) < F.col("p")).cast("int").alias("bit")))
+    bits.append(rest.select("g", "doc_id", "v", "rn", (F.col("p") >= 0.5).cast("int").alias("bit")))
     bit = reduce(DataFrame.unionByName, bits).select(F.col("doc_id").alias("d"), F.col("v").alias("w"), F.col("rn").alias("r"), "bit")
     out = joined.join(bit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("v") == F.col("w")) & (F.col("rn") == F.col("r")), "left")
     return out.select("doc_id", "v", "rn", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce(F.col("bit"), F.lit(0)))).cast("long").alias("taken"), (F.col("whole") + F.coalesce(F.col("bit"), F.lit(0))).cast("int").alias("copies"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exact_dedup, langid, line_dedup, mixing, toxicity
+from factloom.llm import bpe, exact_dedup, jaccard_join, langid, line_dedup, mixing, toxicity
 
 
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": jaccard_join.query,
     "op3_mixing_sources": mixing.query,
     "op4_byte_level_bpe": _bpe,
     "op5_toxicity": toxicity.query,
