@@ -155,7 +155,7 @@ _engines: dict[str, Engine] = {}
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, ids array<int> (only with keep_ids), n_tokens, ids_sha256, decoded_sha256 and decoded binary (with keep_ids).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids array<int>, for every row of docs.
 
     ranks_path names a local file of the driver; its table, of fixed size, is broadcast.
     """
@@ -172,23 +172,20 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
         engine = bpe._engines[name]
         for batch in batches:
             rows, held = [], 0
-            doc_ids = batch.column(0).to_pylist()
-            for doc_id, (ids, decoded) in zip(doc_ids, engine.run(batch.column(1).to_pylist())):
-                row = {"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
-                if keep_ids:
-                    row |= {"ids": ids.astype(np.int32), "decoded": decoded}
-                rows.append(row)
-                held += len(decoded)
-                if keep_ids and held > SLICE:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+            for doc_id, (ids, decoded) in zip(batch.column(0).to_pylist(), engine.run(batch.column(1).to_pylist())):
+                row = (doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
+                held += len(ids)
+                if held > SLICE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]
-        ddl += ", ids array<int>, decoded binary"
+        fields.append(("ids", pa.list_(pa.int32())))
+        ddl += ", ids array<int>"
     schema = pa.schema(fields)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, ddl)

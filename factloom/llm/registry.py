@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exact_dedup, jaccard_join, langid, line_dedup, mixing, toxicity
+from factloom.llm import ann, bpe, exact_dedup, html_text, jaccard_join, langid, line_dedup, lm, mixing, toxicity
 
 
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +16,15 @@ def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": jaccard_join.query,
+    "op2_html_extraction": html_text.query,
     "op3_mixing_sources": mixing.query,
     "op4_byte_level_bpe": _bpe,
     "op5_toxicity": toxicity.query,
     "op6_language_id": langid.query,
     "op7_line_dedup": line_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_nearest_neighbours": ann.query,
+    "op10_lm_scoring": lm.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
