@@ -61,7 +61,7 @@ class _Text:
             line = "".join(self.parts)
             if self.gap == 2 and self.lines:
                 self.lines.append("")
-            self.lines.append(" " * max(0, indent - len(self.lead)) + self.lead + line if self.lead else " " * indent + line)
+            self.lines.append(" " * max(0, indent - 2) + self.lead + line if self.lead else " " * indent + line)
             self.parts, self.gap, self.lead = [], 0, ""
         self.gap, self.space = max(self.gap, gap), False
 
