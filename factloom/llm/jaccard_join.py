@@ -38,7 +38,8 @@ MOST_SMALL, SCAN_COST = 40, 4
 SHORT, BLOCK = 48, 256
 #: Ids up to this number are broadcast to fetch their texts, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-WORDS64 = 8
+#: A parity sketch has 512 bits for sets up to SKETCHED shingles, twice as many for each doubling beyond.
+SKETCHED, WORDS64 = 1024, 8
 
 _M1, _M2, _SUBSET = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407), np.uint64(0xD1B54A32D192ED03)
 
@@ -139,7 +140,11 @@ def _signatures(docs: DataFrame, rule: Rule, weight: np.ndarray, small: int) ->
                 m1, m2 = mix64(h ^ _M1), mix64(h ^ _M2)
                 names = [np.subtract(t[start + n], t[start]) for t in (run(m1), run(m2))]
                 bits = (np.bincount(doc * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * (b - a)) & 1).astype(np.uint8).reshape(-1, 512)
-                bits = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                bits = list(np.packbits(bits, axis=1, bitorder="little").view(np.int64))
+                for i in np.flatnonzero(n > SKETCHED):
+                    width = 512 << int(np.ceil(np.log2(n[i] / SKETCHED)))
+                    odd = np.bincount((h[start[i] : start[i] + n[i]] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    bits[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
                 order = np.lexsort((h, w, doc))
                 rank = np.arange(len(h)) - np.repeat(start, n)
                 take = np.array([0 if s == 0 or s < least_scan else rule.prefix(int(s)) for s in n], np.int64)
@@ -151,7 +156,7 @@ def _signatures(docs: DataFrame, rule: Rule, weight: np.ndarray, small: int) ->
                         gone = np.array([sum(int(own[j]) for j in drop) & (2**64 - 1) for drop in combinations(range(n[i]), int(n[i]) - c)], np.uint64)
                         keys.append(mix64((names[0][i] - gone) * _SUBSET + np.uint64(c)))
                     lists[i] = np.concatenate([lists[i], *(x.view(np.int64) for x in keys)])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64()))], ["d", "n", "k1", "k2", "lists", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["d", "n", "k1", "k2", "lists", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("d"), "text").mapInArrow(work, "d long, n int, k1 long, k2 long, lists array<long>, bits array<long>")
 
@@ -175,13 +180,30 @@ def _sizes_fit(rule: Rule, a: str, b: str) -> Column:
     return (F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num) if rule.num else F.lit(True)
 
 
+def _halved(v: str, other: str) -> Column:
+    """A sketch, folded once if the other one is half as long (sizes that fit differ by one doubling at most)."""
+    half = F.size(other)
+    return F.when(F.size(v) > half, F.zip_with(F.slice(v, 1, half), F.slice(v, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(v))
+
+
 def _close(rule: Rule) -> Column:
-    """Whether the parity sketches allow a link: they differ in at most as many bits as the sets do in shingles."""
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    """Whether the parity sketches x, y allow a link: they differ in at most as many bits as the sets do in shingles."""
+    differ = F.aggregate(F.zip_with(_halved("x", "y"), _halved("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
     total = F.col("m") + F.col("n")
     return differ <= total - 2 * F.ceil(total * rule.num / F.lit(rule.num + rule.den) - 1e-9)
 
 
+def _short(v: str) -> Column:
+    """A sketch folded to its shortest form."""
+    return F.transform(F.sequence(F.lit(0), F.lit(WORDS64 - 1)), lambda i: F.aggregate(F.sequence(F.lit(0), F.expr(f"size({v}) div {WORDS64} - 1")), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get(F.col(v), i + k * WORDS64))))
+
+
+def _sketched(pairs: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
+    """Those of pairs (a, b) whose whole sketches allow a link."""
+    out = pairs.join(bits.select(F.col("d").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a").join(bits.select(F.col("d").alias("b"), "n", F.col("bits").alias("y")), "b")
+    return out.where(_sizes_fit(rule, "n", "m") & _close(rule)).select("a", "b")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Those of pairs (a, b) that link, by their whole sets."""
     sets = cut(_sets(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()), rule))
@@ -228,12 +250,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     leader = F.min(F.struct(F.xxhash64("t", "d").alias("h"), F.col("d"), F.col("n")))
     shared = cut(posting.groupBy("t").agg(F.count("*").alias("c"), leader.alias("lead")).where("c > 1").select("t", "c", F.col("lead.d").alias("first"), F.col("lead.n").alias("m")))
     lists = cut(posting.join(shared, "t"))
-    bits = reps.select("d", "n", "bits")
+    bits = cut(reps.select("d", "n", "bits"))
 
     # Each member of a list meets its leader.
     pairs = lists.where((F.col("d") != F.col("first")) & _sizes_fit(rule, "n", "m")).select(F.least("d", "first").alias("a"), F.greatest("d", "first").alias("b")).distinct()
-    pairs = pairs.join(bits.select(F.col("d").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a").join(bits.select(F.col("d").alias("b"), "n", F.col("bits").alias("y")), "b")
-    met = cut(pairs.where(_close(rule)).select("a", "b"))
+    met = cut(_sketched(pairs, bits, rule))
     links = _links(docs, met, rule)
     # Rows of one doc_id are one node even if their sets differ.
     twice = member.groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("d", "a")
@@ -243,7 +264,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     comps = components(links)
     open_ = lists.where("c > 2").join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
     mixed = cut(open_.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t"))
-    open_ = cut(open_.join(mixed, "t").join(bits.select("d", "bits"), "d").select("t", "c", "d", "n", "comp", "bits"))
+    open_ = cut(open_.join(mixed, "t").join(bits.select("d", _short("bits").alias("bits")), "d").select("t", "c", "d", "n", "comp", "bits"))
     few, right = open_.where(F.col("c") <= SHORT), open_.where(F.col("c") <= SHORT)
     right = right.select("t", F.col("d").alias("e"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("bits").alias("y"))
     near = few.withColumnRenamed("bits", "x").join(right, (few.t == right.t) & (F.col("d") < F.col("e")) & (F.col("comp") != F.col("comp2")) & _sizes_fit(rule, "n", "m") & _close(rule)).select(F.col("d").alias("a"), F.col("e").alias("b"))
@@ -251,7 +272,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     long = open_.where(F.col("c") > SHORT).withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     long = long.select("t", "d", "n", "comp", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("home"))
     near = near.unionByName(long.groupBy("t", "i", "j").applyInPandas(_block_pairs(rule), "a long, b long")).distinct().join(met, ["a", "b"], "left_anti")
-    more = _links(docs, cut(near), rule)
+    more = _links(docs, cut(_sketched(near, bits, rule)), rule)
 
     final = components(links.unionByName(more)).withColumnRenamed("d", "rep")
     of = member.groupBy("d").agg(F.min("rep").alias("rep")).join(final, "rep", "left").select("d", F.coalesce("comp", "rep").alias("comp"))
