@@ -23,7 +23,7 @@ from factloom.llm.common import ship, slices
 #: Characters of text between two looks at the bound of the word cache.
 SLICE = 4 << 20
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Sum of squared word lengths that one recursive query takes: its rows over all steps are about half of that.
 QUERY_ROWS = 4_000_000
 #: Longer words contract all places of their minimum pair in one step where that gives the same result.
