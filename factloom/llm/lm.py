@@ -34,7 +34,7 @@ REST = CLASSES
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 12
 ROUNDS, STRIDE, STEP, DAMP = 3, 16, 0.3, 3.0
 #: Words with their counts in the broadcast table, at most (16 bytes each).
-HEAD = 1 << 21
+HEAD = 1 << 18
 #: Partial sums that one task of the reduction tree adds up.
 FAN = 16
 CHUNK, PARTS = 1 << 13, 16
