@@ -11,6 +11,8 @@ other than doc_id and text are ignored; text may be of any length (memory follow
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -21,11 +23,11 @@ from pyspark.sql import DataFrame
 from factloom.llm.common import ship, slices
 
 #: Characters of text between two looks at the bound of the word cache.
-SLICE = 4 << 20
-#: Words whose ids a worker remembers; beyond that the memory starts anew.
-CACHE_WORDS = 1_000_000
+SLICE = 1 << 20
+#: Words whose ids a worker remembers, and how many of them (met at least twice) stay when there are more or a partition ends.
+CACHE_WORDS, KEEP_WORDS = 250_000, 120_000
 #: Sum of squared word lengths that one recursive query takes: its rows over all steps are about half of that.
-QUERY_ROWS = 4_000_000
+QUERY_ROWS = 1_500_000
 #: Longer words contract all places of their minimum pair in one step where that gives the same result.
 LONG_WORD = 96
 
@@ -78,28 +80,55 @@ class Engine:
     """Encoder and decoder over a fixed table of ranks; rank and id are the same number."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import duckdb
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, r = (np.array(c, np.int32) for c in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 3
         # A token that takes part in a pair of lower rank than its own could overtake: such merges go one at a time.
         overtaking = np.unique(np.concatenate([a[r < a], b[r < b]]))
-        self._table("merges", a=a, b=b, r=r.astype(np.int64), safe=~np.isin(r, overtaking))
-        self._table("vocab", id=np.fromiter(ranks.values(), np.int32, len(ranks)), piece=[t.decode("latin-1") for t in ranks])
+        self.merges = pa.table({"a": a, "b": b, "r": r.astype(np.int64), "safe": ~np.isin(r, overtaking)})
+        self.vocab = pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "piece": [t.decode("latin-1") for t in ranks]})
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.db = None
         self.forget()
 
-    def _table(self, name: str, **columns) -> None:
-        self.db.register("arriving", pa.table(columns))
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM arriving")
-        self.db.unregister("arriving")
+    def _open(self) -> None:
+        import duckdb
+
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        for name in ("merges", "vocab"):
+            self.db.register("arriving", getattr(self, name))
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM arriving")
+            self.db.unregister("arriving")
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.length, self.ids, self.pieces = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), []
+        self.start, self.length, self.uses = (np.empty(0, np.int64) for _ in range(3))
+        self.ids = np.empty(0, np.uint32)
+        self.pieces: list[bytes] = []
+
+    def rest(self) -> None:
+        """Between partitions: close the database, keep only frequent words and give memory back where the C library can."""
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+        self.compact()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def compact(self) -> None:
+        """Keep only the words met most often, twice at least."""
+        kept = np.flatnonzero(self.uses >= 2)
+        if len(kept) > KEEP_WORDS:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:KEEP_WORDS]])
+        new = np.full(len(self.index), -1)
+        new[kept] = np.arange(len(kept))
+        self.index = {x: j for (x, _), j in zip(self.index.items(), new.tolist()) if j >= 0}
+        n = self.length[kept]
+        self.ids = self.ids[np.repeat(self.start[kept] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        self.start, self.length, self.uses = np.cumsum(n) - n, n, self.uses[kept]
+        self.pieces = [self.pieces[i] for i in kept.tolist()]
 
     def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ids of all words one after another, their counts, and the bytes that the ids decode to."""
@@ -118,6 +147,8 @@ class Engine:
 
     def learn(self, fresh: list[str]) -> None:
         """Encode and decode words not met before and remember the results."""
+        if self.db is None:
+            self._open()
         coded = sorted(((x.encode("utf-8", "surrogatepass"), x) for x in fresh), key=lambda p: len(p[0]))
         at = 0
         while at < len(coded):
@@ -131,6 +162,7 @@ class Engine:
                 self.index[x] = i
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
             self.length = np.concatenate([self.length, counts])
+            self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int64)])
             self.ids = np.concatenate([self.ids, ids])
             self.pieces += pieces
             at = to
@@ -139,13 +171,14 @@ class Engine:
         """Each text's ids and the bytes they decode to."""
         for a, b in slices(texts, SLICE):
             if len(self.index) > CACHE_WORDS:
-                self.forget()
+                self.compact()
             words = [self.split(t) if t else [] for t in texts[a:b]]
             fresh = set().union(*words).difference(self.index)
             if fresh:
                 self.learn(sorted(fresh))
             for own in words:
                 at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
+                np.add.at(self.uses, at, 1)
                 n = self.length[at]
                 place = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 yield self.ids[place], b"".join([self.pieces[i] for i in at.tolist()])
@@ -181,6 +214,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        engine.rest()
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

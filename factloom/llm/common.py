@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\f\r"
 #: Bytes of text that one vectorised step handles; bounds a worker's temporary arrays.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 _shipped: set[str] = set()
 
@@ -34,7 +34,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(target)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # long texts: a batch ends by bytes as well as by rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # long texts: a batch ends by bytes as well as by rows
     _shipped.add(app)
 
 
@@ -150,7 +150,7 @@ def hash_words(texts: list, sep: np.ndarray = SEPARATOR, fold: np.ndarray = FOLD
     return np.concatenate(hashes), np.diff(upto, prepend=0)
 
 
-def slices(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring texts of about ``most`` characters (a longer text is a run of its own)."""
     start = size = 0
     for i, t in enumerate(texts):

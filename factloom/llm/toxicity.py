@@ -85,7 +85,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def features(texts: list, lexicon: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text."""
     out = np.zeros((len(texts), len(FEATURES)))
-    for a, b in slices(texts, 1 << 20):
+    for a, b in slices(texts, 1 << 19):
         h, n = hash_words(texts[a:b], _WORD_END, _PLAIN)
         hit = _places(lexicon, h)
         is_hit = hit >= 0
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_rows: int = MAX_R
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, 1 << 19):
                 h, n = hash_words(texts[a:b], _WORD_END, _PLAIN)
                 doc = np.repeat(np.arange(b - a), n)
                 order = np.lexsort((doc, h))
@@ -270,7 +270,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, teach: Column) -> DataFrame:
     def toxic(text):
         import pandas as pd
 
-        return pd.Series((held.value.score([x if isinstance(x, str) else None for x in text]) >= CUT).astype(np.int32))
+        rows = text.to_list()  # null is None
+        return pd.Series((held.value.score(rows) >= CUT).astype(np.int32))
 
     return docs.where(toxic(F.col("text")) == 0)
 
