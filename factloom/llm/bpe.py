@@ -11,8 +11,6 @@ other than doc_id and text are ignored; text may be of any length (memory follow
 from __future__ import annotations
 
 import base64
-import contextlib
-import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -20,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import ship, slices
+from factloom.llm.common import ship, slices, tidy
 
 #: Characters of text between two looks at the bound of the word cache.
 SLICE = 1 << 20
 #: Words whose ids a worker remembers, and how many of them (met at least twice) stay when there are more or a partition ends.
-CACHE_WORDS, KEEP_WORDS = 250_000, 120_000
+CACHE_WORDS, KEEP_WORDS = 200_000, 100_000
 #: Sum of squared word lengths that one recursive query takes: its rows over all steps are about half of that.
 QUERY_ROWS = 1_500_000
 #: Longer words contract all places of their minimum pair in one step where that gives the same result.
@@ -114,8 +112,7 @@ class Engine:
             self.db.close()
             self.db = None
         self.compact()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        tidy()
 
     def compact(self) -> None:
         """Keep only the words met most often, twice at least."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -150,6 +152,16 @@ def hash_words(texts: list, sep: np.ndarray = SEPARATOR, fold: np.ndarray = FOLD
     return np.concatenate(hashes), np.diff(upto, prepend=0)
 
 
+def tidy() -> None:
+    """At a partition's end: give freed memory back, since a Python worker outlives its task (where the C library can)."""
+    import pyarrow as pa
+
+    _tables.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring texts of about ``most`` characters (a longer text is a run of its own)."""
     start = size = 0

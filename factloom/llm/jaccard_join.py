@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, hash_words, mix64, ship, slices
+from factloom.llm.common import cut, hash_words, mix64, ship, slices, tidy
 from factloom.llm.components import components
 
 #: Counters of word frequencies, 2**SKETCH; only their order matters, so collisions cost time and never a link.
@@ -35,7 +35,7 @@ SKETCH = 18
 #: Sets up to this size may be small; postings that a hash of a subset is worth.
 MOST_SMALL, SCAN_COST = 40, 4
 #: Lists up to SHORT members are compared by a join, longer ones in blocks of BLOCK members.
-SHORT, BLOCK = 48, 256
+SHORT, BLOCK = 48, 512
 #: Ids up to this number are broadcast to fetch their texts, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: A parity sketch has 512 bits for sets up to SKETCHED shingles, twice as many for each doubling beyond.
@@ -117,6 +117,7 @@ def _census(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, dict[int, int]]:
         both = np.concatenate([total, sizes])
         some = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[some])], ["i", "n"])
+        tidy()
 
     rows = docs.select("text").mapInArrow(work, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SKETCH + 80 rows
     both = np.zeros((1 << SKETCH) + 2 * MOST_SMALL, np.int64)
@@ -157,6 +158,7 @@ def _signatures(docs: DataFrame, rule: Rule, weight: np.ndarray, small: int) ->
                         keys.append(mix64((names[0][i] - gone) * _SUBSET + np.uint64(c)))
                     lists[i] = np.concatenate([lists[i], *(x.view(np.int64) for x in keys)])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["d", "n", "k1", "k2", "lists", "bits"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("d"), "text").mapInArrow(work, "d long, n int, k1 long, k2 long, lists array<long>, bits array<long>")
 
@@ -172,6 +174,7 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
             for a, b in slices(texts):
                 h, n, _ = shingles(texts[a:b], rule.k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.split(h.view(np.int64), np.cumsum(n)[:-1]), pa.list_(pa.int64()))], ["d", "s"])
+        tidy()
 
     return rows.mapInArrow(work, "d long, s array<long>")
 

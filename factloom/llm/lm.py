@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket_of, cut, hash_words, mix64, ship, slices
+from factloom.llm.common import bucket_of, cut, hash_words, mix64, ship, slices, tidy
 
 CLASSES, WIDTH = 32, 32
 REST = CLASSES
@@ -267,6 +267,7 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
                 tails = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(th[new].view(np.int64)), pa.array(tf.astype(np.int64))], ["h", "tf"]))
                 known_n = add(((at >= 0) | (end & (ends > 0))).astype(np.float64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), out.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(known_n), pa.array(add(log_c)), pa.array(add(logp)), tails], ["doc_id", "held_out", "n_tokens", "known", "log_c", "logp", "tails"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     part = rows.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, known long, log_c double, logp double, tails array<struct<h: long, tf: long>>")

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket_of, hash_words, lower_fold, separators, ship, slices
+from factloom.llm.common import bucket_of, hash_words, lower_fold, separators, ship, slices, tidy
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 MAX_ROWS = 20_000
@@ -222,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_rows: int = MAX_R
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(toxic[a:b][doc[new]].astype(np.int64))], ["h", "toxic"])
+        tidy()
 
     counts = rows.select("text", "toxic").mapInArrow(words, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
@@ -239,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_rows: int = MAX_R
         for batch in batches:
             x = features(batch.column(1).to_pylist(), lexicon, weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "toxic"])
+        tidy()
 
     got = rows.mapInArrow(dense, "doc_id long, x array<double>, toxic int").orderBy("doc_id").toArrow()
     x, y = np.array(got.column("x").to_pylist()), got.column("toxic").to_numpy().astype(np.float64)
@@ -258,6 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             s = held.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double, predicted int")
 
@@ -267,11 +271,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, teach: Column) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, teach))
 
     @F.pandas_udf("int")
-    def toxic(text):
-        import pandas as pd
-
-        rows = text.to_list()  # null is None
-        return pd.Series((held.value.score(rows) >= CUT).astype(np.int32))
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series((held.value.score(text.to_list()) >= CUT).astype(np.int32))  # null is None
+        tidy()
 
     return docs.where(toxic(F.col("text")) == 0)
 
