@@ -5,7 +5,7 @@ that a recursive query joins with the merge table, contracting the leftmost pair
 no pair is left. Ordered aggregation turns the rows back into bytes. Documents are gathered from their words' ids.
 
 Defined results: null text counts as empty; empty text has no ids; rows with equal doc_id are separate rows; columns
-other than doc_id and text are ignored; text may be of any length (memory follows ``SLICE`` and the longest text).
+other than doc_id and text are ignored; text may be of any length (memory follows ``Room.slice`` and the longest text).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,23 @@ from pyspark.sql import DataFrame
 
 from factloom.llm.common import ship, slices, tidy
 
-#: Characters of text between two looks at the bound of the word cache.
-SLICE = 1 << 20
-#: Words whose ids a worker remembers, and how many of them (met at least twice) stay when there are more or a partition ends.
-CACHE_WORDS, KEEP_WORDS = 200_000, 100_000
-#: Sum of squared word lengths that one recursive query takes: its rows over all steps are about half of that.
-QUERY_ROWS = 1_500_000
+
+
+@dataclass(frozen=True)
+class Room:
+    """What a worker's engine may hold: more room, fewer words encoded anew; results are the same."""
+
+    #: Characters of text between two looks at the bound of the word cache.
+    slice: int = 1 << 20
+    #: Words whose ids a worker remembers, and how many of them (met at least twice) stay when there are more or a partition ends.
+    cache: int = 200_000
+    keep: int = 100_000
+    #: Sum of squared word lengths that one recursive query takes: its rows over all steps are about half of that.
+    rows: int = 1_500_000
+
+
+#: For an encoder that has its executors to itself: some 300 MB a worker.
+WIDE = Room(4 << 20, 1_000_000, 600_000, 4_000_000)
 #: Longer words contract all places of their minimum pair in one step where that gives the same result.
 LONG_WORD = 96
 
@@ -77,9 +89,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Engine:
     """Encoder and decoder over a fixed table of ranks; rank and id are the same number."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: Room = Room()):
         import regex
 
+        self.room = room
         self.split = regex.compile(pattern).findall
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, r = (np.array(c, np.int32) for c in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 3
@@ -117,8 +130,8 @@ class Engine:
     def compact(self) -> None:
         """Keep only the words met most often, twice at least."""
         kept = np.flatnonzero(self.uses >= 2)
-        if len(kept) > KEEP_WORDS:
-            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:KEEP_WORDS]])
+        if len(kept) > self.room.keep:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.room.keep]])
         new = np.full(len(self.index), -1)
         new[kept] = np.arange(len(kept))
         self.index = {x: j for (x, _), j in zip(self.index.items(), new.tolist()) if j >= 0}
@@ -151,7 +164,7 @@ class Engine:
         while at < len(coded):
             size, to = len(coded[at][0]) ** 2, at + 1
             long = len(coded[at][0]) > LONG_WORD
-            while to < len(coded) and size + len(coded[to][0]) ** 2 <= QUERY_ROWS and (len(coded[to][0]) > LONG_WORD) == long:
+            while to < len(coded) and size + len(coded[to][0]) ** 2 <= self.room.rows and (len(coded[to][0]) > LONG_WORD) == long:
                 size += len(coded[to][0]) ** 2
                 to += 1
             ids, counts, pieces = self._contract([b for b, _ in coded[at:to]], ENCODE_LONG if long else ENCODE)
@@ -166,8 +179,8 @@ class Engine:
 
     def run(self, texts: list) -> Iterator[tuple[np.ndarray, bytes]]:
         """Each text's ids and the bytes they decode to."""
-        for a, b in slices(texts, SLICE):
-            if len(self.index) > CACHE_WORDS:
+        for a, b in slices(texts, self.room.slice):
+            if len(self.index) > self.room.cache:
                 self.compact()
             words = [self.split(t) if t else [] for t in texts[a:b]]
             fresh = set().union(*words).difference(self.index)
@@ -184,7 +197,7 @@ class Engine:
 _engines: dict[str, Engine] = {}
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True, room: Room = Room()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids array<int>, for every row of docs.
 
     ranks_path names a local file of the driver; its table, of fixed size, is broadcast.
@@ -192,13 +205,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     spark = docs.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    name = f"{ranks_path}|{pattern}"
+    name = f"{ranks_path}|{pattern}|{room}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm import bpe
 
         if name not in bpe._engines:
-            bpe._engines[name] = bpe.Engine(ranks.value, pattern)
+            bpe._engines[name] = bpe.Engine(ranks.value, pattern, room)
         engine = bpe._engines[name]
         for batch in batches:
             rows, held = [], 0
@@ -206,7 +219,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
                 row = (doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
                 held += len(ids)
-                if held > SLICE:
+                if held > room.slice:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows, held = [], 0
             if rows:

@@ -11,7 +11,7 @@ from factloom.llm import ann, bpe, exact_dedup, html_text, jaccard_join, langid,
 
 
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    return bpe.encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False, room=bpe.WIDE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
