@@ -117,3 +117,30 @@ def merge_sources(tei: DataFrame, pdf: DataFrame) -> DataFrame:
     if {"ci_lower", "ci_upper"} <= set(pdf.columns):
         pdf = pdf.withColumn("confidence_interval", F.when(F.col("ci_lower").isNotNull(), F.format_string("[%s, %s]", "ci_lower", "ci_upper"))).drop("ci_lower", "ci_upper")
     return tei.withColumn("_supplemented", F.lit(False)).unionByName(pdf.withColumn("_supplemented", F.lit(True)), allowMissingColumns=True)
+
+
+def conversion(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Totals of two extraction stages over all keys of the first, and how many rows of the second come from one of the first."""
+    a, b = (df.groupBy(key).agg(F.count("*").alias(n)) for df, n in ((first, "first_rows"), (second, "second_rows")))
+    both = a.join(b, key, "left").agg(F.count("*").alias("papers"), F.sum("first_rows").alias("first_rows"), F.coalesce(F.sum("second_rows"), F.lit(0)).alias("second_rows"))
+    return both.withColumn("ratio", F.coalesce(F.try_divide("second_rows", "first_rows"), F.lit(0.0)))
+
+
+def category_completeness(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
+    """category, filled, cells, pct: filled cells (not null, not blank) over all columns of each category; 0 for an empty input."""
+    filled = lambda c: (F.trim(F.col(c).cast("string")) != "").cast("long")
+    wide = df.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(sum((F.coalesce(filled(c), F.lit(0)) for c in columns), F.lit(0))), F.lit(0)).alias(name) for name, columns in categories.items()))
+    cells = ", ".join(f"'{name}', `{name}`, rows * {len(columns)}" for name, columns in categories.items())
+    long = wide.selectExpr(f"stack({len(categories)}, {cells}) AS (category, filled, cells)")
+    return long.withColumn("pct", F.coalesce(F.try_divide(F.col("filled") * 100.0, "cells"), F.lit(0.0)))
+
+
+def source_counts(df: DataFrame, source: str, *tables: str) -> DataFrame:
+    """Rows and distinct tables of each source; a row's table is the first of the given columns that isn't null."""
+    return df.groupBy(source).agg(F.count("*").alias("outcomes"), F.countDistinct(F.coalesce(*tables)).alias("n_tables"))
+
+
+def completeness_scores(df: DataFrame, columns: list[str], high: float = 0.7) -> DataFrame:
+    """Rows whose share of filled columns is at least ``high``, and the mean share (0 for an empty input)."""
+    share = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0)) / len(columns)
+    return df.agg(F.count("*").alias("rows"), F.count_if(share >= high).alias("high_rows"), F.round(F.coalesce(F.avg(share), F.lit(0.0)), 9).alias("mean_share"))

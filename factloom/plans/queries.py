@@ -390,3 +390,104 @@ def metadata_override(spark, sf):
 def extraction_results(spark, sf):
     got = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return O.table_results(table(spark, sf, "orders"), got, ["o_orderkey"])
+
+
+@query("""SELECT count(*) AS papers, CAST(sum(n) AS BIGINT) AS first_rows, CAST(coalesce(sum(m), 0) AS BIGINT) AS second_rows, coalesce(sum(m), 0) / sum(n) AS ratio
+FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1) a LEFT JOIN (SELECT conv_id, count(*) AS m FROM conversations WHERE role <> 'user' GROUP BY 1) b USING (conv_id)""")
+def stage_conversion(spark, sf):
+    c = table(spark, sf, "conversations")
+    return O.conversion(c.where("role = 'user'"), c.where("role <> 'user'"), "conv_id")
+
+
+@query("""SELECT 'content' AS category, count(*) FILTER (WHERE trim(text) <> '') + count(*) FILTER (WHERE trim(lang) <> '') AS filled, 2 * count(*) AS cells, (count(*) FILTER (WHERE trim(text) <> '') + count(*) FILTER (WHERE trim(lang) <> '')) * 100.0 / (2 * count(*)) AS pct FROM documents
+UNION ALL SELECT 'labels', count(quality) + count(toxic), 2 * count(*), (count(quality) + count(toxic)) * 100.0 / (2 * count(*)) FROM documents LEFT JOIN labels USING (doc_id)""")
+def category_completeness(spark, sf):
+    return O.category_completeness(_labelled(spark, sf), {"content": ["text", "lang"], "labels": ["quality", "toxic"]})
+
+
+@query("SELECT source, count(*) AS outcomes, count(DISTINCT coalesce(CAST(quality AS VARCHAR), lang)) AS n_tables FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def source_counts(spark, sf):
+    return O.source_counts(_labelled(spark, sf).withColumn("table", F.col("quality").cast("string")), "source", "table", "lang")
+
+
+@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE s >= 0.7) AS high_rows, round(avg(s), 9) AS mean_share
+FROM (SELECT ((text IS NOT NULL)::INT + (lang IS NOT NULL)::INT + (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT) / 4 AS s FROM documents LEFT JOIN labels USING (doc_id))""")
+def completeness_scores(spark, sf):
+    return O.completeness_scores(_labelled(spark, sf), ["text", "lang", "quality", "toxic"])
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1998-01-01')")
+def version_diff(spark, sf):
+    """Ids that a later version of a table has and an earlier one hasn't."""
+    o = table(spark, sf, "orders")
+    return R.missing(o.where("o_orderdate >= DATE '1998-01-01'"), o.where("o_orderdate < DATE '1998-01-01'"), ["o_custkey"]).select("o_custkey").distinct()
+
+
+@query("""SELECT doc_id, quality = toxic AS label_match, CAST(quality AS VARCHAR) AS label_llm, CAST(toxic AS VARCHAR) AS label_human, abs(n_chars - length(text)) / abs(length(text)) <= 0.01 AS size_match, CAST(n_chars AS VARCHAR) AS size_llm, CAST(length(text) AS VARCHAR) AS size_human
+FROM documents JOIN labels USING (doc_id) WHERE length(text) > 0""")
+def wide_comparison(spark, sf):
+    pairs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("n", F.length("text")).where("n > 0")
+    long = A.compare_records(pairs, "doc_id", {"label": ("component", "quality", "toxic"), "size": ("numeric", "n_chars", "n")})
+    return A.wide(long, "doc_id").drop("label_reason", "size_reason")
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'FAILED' ELSE 'Unknown' END AS status, CASE WHEN length(o_orderpriority) > 4 THEN left(o_orderpriority, 4) || '...' ELSE o_orderpriority END AS shown, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp FROM orders""")
+def display_labels(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.label(F.col("o_orderstatus"), {"F": "SUCCESS", "O": "FAILED"}, "Unknown").alias("status"), T.ellipsis(F.col("o_orderpriority"), 4).alias("shown"), T.stamp(F.col("o_orderdate")).alias("stamp"))
+
+
+@query("""SELECT l_orderkey, string_agg(n || '. ' || l_returnflag || ' (' || l_linestatus || ') at unknown location', chr(10) ORDER BY n) AS guidance
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS n FROM lineitem) GROUP BY l_orderkey""")
+def stage_guidance(spark, sf):
+    """Outcomes of the first stage, nested for each paper and written as a numbered list for the second."""
+    outcome = F.struct("l_linenumber", F.col("l_returnflag").alias("outcome_category"), F.col("l_linestatus").alias("outcome_group"), F.lit(None).cast("string").alias("location"))
+    nested = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(outcome)).alias("outcomes"))
+    return nested.select("l_orderkey", T.guidance(F.col("outcomes")).alias("guidance"))
+
+
+@query("""SELECT conv_id, unnest(regexp_extract_all(t, 'Table\\s+(\\d+)[.:]?\\s*([^\\n]*)', 1)) AS number, unnest(regexp_extract_all(t, 'Table\\s+(\\d+)[.:]?\\s*([^\\n]*)', 2)) AS title
+FROM (SELECT conv_id, string_agg('Table ' || turn || ': ' || role, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)""")
+def table_titles(spark, sf):
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("a"))
+    text = F.array_join(F.transform("a", lambda x: F.concat(F.lit("Table "), x["turn"].cast("string"), F.lit(": "), x["role"])), "\n")
+    return turns.select("conv_id", F.explode(T.table_titles(text)).alias("t")).select("conv_id", F.col("t.number").alias("number"), F.col("t.title").alias("title"))
+
+
+@query("""SELECT o_orderkey, 'a' || o_orderkey AS outcome, false AS _supplemented, CAST(NULL AS VARCHAR) AS confidence_interval FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, 'b' || o_orderkey, true, '[' || o_custkey || ', ' || o_orderkey || ']' FROM orders WHERE o_orderstatus = 'O'""")
+def merge_sources(spark, sf):
+    o = table(spark, sf, "orders")
+    named = lambda p: F.concat(F.lit(p), F.col("o_orderkey").cast("string")).alias("outcome")
+    pdf = o.where("o_orderstatus = 'O'").select("o_orderkey", named("b"), F.col("o_custkey").cast("string").alias("ci_lower"), F.col("o_orderkey").cast("string").alias("ci_upper"))
+    return O.merge_sources(o.where("o_orderstatus = 'F'").select("o_orderkey", named("a")), pdf)
+
+
+@query("""SELECT DISTINCT l_orderkey AS key, CAST(l_linenumber AS VARCHAR) AS table_number FROM lineitem EXCEPT SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R'""")
+def fallback_tables(spark, sf):
+    from factloom.plans.phases import wanted_fallback
+
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("string").alias("table_number"), "l_returnflag")
+    return wanted_fallback(li, li.where("l_returnflag = 'R'"))
+
+
+@query("""SELECT user_id, max(CASE WHEN event_type = 'click' THEN p END) AS component_click, max(CASE WHEN event_type = 'view' THEN p END) AS component_view
+FROM (SELECT user_id, event_type, arg_max(props, event_id) AS p FROM events GROUP BY ALL) GROUP BY user_id""")
+def component_columns(spark, sf):
+    last = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("p"))
+    maps = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "p"))).alias("components"))
+    return O.component_columns(maps, "components", ["click", "view"])
+
+
+@query("""SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def dictionary_lookup(spark, sf):
+    """A lookup whose right side keeps the last row of each key, as a dictionary built row by row does."""
+    right = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    return R.lookup(table(spark, sf, "customer").select("c_custkey"), right, "c_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT c_custkey, l.o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F') l ON o_custkey = c_custkey AND c_acctbal > 0""")
+def outcomes_outer(spark, sf):
+    """Nested outcomes of each paper unnested again; papers without any give one row of nulls."""
+    nested = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct("o_orderkey")).alias("outcomes"))
+    papers = table(spark, sf, "customer").select("c_custkey", "c_acctbal").join(nested, "c_custkey", "left")
+    return O.explode_outcomes(papers.withColumn("outcomes", F.when(F.col("c_acctbal") > 0, F.col("outcomes"))), ["c_custkey"], outer=True)

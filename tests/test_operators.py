@@ -170,3 +170,14 @@ def test_watch_stream(spark, tmp_path):
     watch.run_available(watch.parsed_estimates(watch.watch_texts(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r["key"], r["effect_size"], r["n_observations"]) == ("A", 9079.0, 40)
+
+
+def test_counts_of_empty_and_sparse_tables(spark):
+    rows = spark.createDataFrame([("K", "a", None, "3"), ("K", None, " ", None), ("L", "b", "x", None)], "key string, t string, u string, source string")
+    got = O.conversion(rows, rows.where("key = 'K'"), "key").first()
+    assert (got["papers"], got["first_rows"], got["second_rows"]) == (2, 3, 2) and abs(got["ratio"] - 2 / 3) < 1e-12
+    assert O.conversion(rows, rows.limit(0), "key").first()["ratio"] == 0
+    assert {(r["category"], r["filled"], r["cells"]) for r in O.category_completeness(rows, {"both": ["t", "u"], "one": ["source"]}).collect()} == {("both", 3, 6), ("one", 1, 3)}
+    assert {(r["filled"], r["pct"]) for r in O.category_completeness(rows.limit(0), {"both": ["t", "u"]}).collect()} == {(0, 0.0)}
+    assert {(r["source"], r["outcomes"], r["n_tables"]) for r in O.source_counts(rows, "source", "t", "u").collect()} == {("3", 1, 1), (None, 2, 2)}
+    assert O.completeness_scores(rows, ["t", "u"]).first()["high_rows"] == 1 and O.completeness_scores(rows.limit(0), ["t"]).first()["mean_share"] == 0
