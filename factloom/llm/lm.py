@@ -5,8 +5,9 @@ types fill CLASSES classes of WIDTH types; all others form one class, within whi
 Both softmaxes add up rows of weights that hashed features of the history select: the previous word, the two previous
 words, and the words two and three back (skips). Weights are trained by distributed gradient updates: in each round every
 partition sums observed and expected feature counts over its tokens, partial sums meet in a reduction tree, and the
-driver takes one step on the fixed-size tables. Counts cover all training documents; a gradient round looks at every
-STRIDE-th token of all of them. Texts are scored in sparse numpy batches.
+driver takes one step on the fixed-size tables. Counts and every gradient round cover all tokens of all training
+documents; the observed counts are the same in each round, so only the first gathers them. Texts are scored in sparse
+numpy batches.
 
 Words are named by 64-bit hashes. Counts of the HEAD most frequent words are broadcast (a fixed bound); other words meet
 theirs in a shuffle join, so every count is exact.
@@ -32,7 +33,7 @@ CLASSES, WIDTH = 32, 32
 REST = CLASSES
 #: Rows of the class table and of the word table.
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 12
-ROUNDS, STRIDE, STEP, DAMP = 3, 16, 0.3, 3.0
+ROUNDS, STEP, DAMP = 3, 0.3, 3.0
 #: Words with their counts in the broadcast table, at most (16 bytes each).
 HEAD = 1 << 18
 #: Partial sums that one task of the reduction tree adds up.
@@ -117,33 +118,34 @@ class Model:
             out[a : a + CHUNK] = part
         return out
 
-    def counts(self, ctx: np.ndarray, slot: np.ndarray, total: np.ndarray) -> None:
-        """Add observed and expected feature counts to total: observed and expected class table, then word table."""
-        nc, nw = CLASS_ROWS * (CLASSES + 1), WORD_ROWS * WIDTH
-        oc, ec, ow, ew = np.split(total, [nc, 2 * nc, 2 * nc + nw])
+    def counts(self, ctx: np.ndarray, slot: np.ndarray, expected: np.ndarray, observed: np.ndarray | None = None) -> None:
+        """Add feature counts, class table then word table, to expected and (unless None) to observed."""
+        nc = CLASS_ROWS * (CLASSES + 1)
+        ec, ew = expected[:nc].reshape(CLASS_ROWS, -1), expected[nc:].reshape(WORD_ROWS, -1)
         for a in range(0, len(slot), CHUNK):
             s = slot[a : a + CHUNK]
             cls, f, p, own, g, q = self.parts(ctx[:, a : a + CHUNK], s)
             for row in f:
-                oc += np.bincount(row * (CLASSES + 1) + cls, minlength=nc)
-                self._expected(ec.reshape(CLASS_ROWS, -1), row, p)
+                self._expected(ec, row, p)
             for row in g:
-                ow += np.bincount(row * WIDTH + s[own] % WIDTH, minlength=nw)
-                self._expected(ew.reshape(WORD_ROWS, -1), row, q)
+                self._expected(ew, row, q)
+            if observed is not None:
+                observed[:nc] += np.bincount((f * (CLASSES + 1) + cls).ravel(), minlength=nc)
+                observed[nc:] += np.bincount((g * WIDTH + s[own] % WIDTH).ravel(), minlength=len(observed) - nc)
 
     @staticmethod
     def _expected(table: np.ndarray, row: np.ndarray, p: np.ndarray) -> None:
         if len(row):
-            order = np.argsort(row, kind="stable")
+            order = np.argsort(row.astype(np.uint16), kind="stable")  # two-byte keys are sorted by radix
             start = np.flatnonzero(np.diff(row[order], prepend=-1))
             table[row[order][start]] += np.add.reduceat(p[order], start, axis=0)
 
-    def step(self, total: np.ndarray) -> None:
+    def step(self, expected: np.ndarray, observed: np.ndarray) -> None:
         """One gradient step: observed minus expected counts, each scaled by their size."""
-        nc, nw = CLASS_ROWS * (CLASSES + 1), WORD_ROWS * WIDTH
-        oc, ec, ow, ew = np.split(total, [nc, 2 * nc, 2 * nc + nw])
-        self.class_rows += (STEP * (oc - ec) / (np.maximum(oc, ec) + DAMP)).reshape(self.class_rows.shape).astype(np.float32)
-        self.word_rows += (STEP * (ow - ew) / (np.maximum(ow, ew) + DAMP)).reshape(self.word_rows.shape).astype(np.float32)
+        nc = CLASS_ROWS * (CLASSES + 1)
+        by = (STEP * (observed - expected) / (np.maximum(observed, expected) + DAMP)).astype(np.float32)
+        self.class_rows += by[:nc].reshape(self.class_rows.shape)
+        self.word_rows += by[nc:].reshape(self.word_rows.shape)
 
 
 def count_words(docs: DataFrame, training: Column) -> DataFrame:
@@ -191,25 +193,26 @@ def _tree_sum(parts: DataFrame, n: int) -> np.ndarray:
 
 def _train(docs: DataFrame, training: Column, model: Model) -> Model:
     sc = docs.sparkSession.sparkContext
-    size = 2 * CLASS_ROWS * (CLASSES + 1) + 2 * WORD_ROWS * WIDTH
+    size, observed = CLASS_ROWS * (CLASSES + 1) + WORD_ROWS * WIDTH, None
     rows = docs.where(training).select("text")
     for k in range(ROUNDS):
-        held, first = sc.broadcast(model), k * STRIDE // ROUNDS
+        held, tables = sc.broadcast(model), 1 if k else 2  # expected counts, and observed ones in the first round
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            total = np.zeros(size)
+            total = np.zeros((tables, size))
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for a, b in slices(texts):
                     h, n = tokens(texts[a:b])
-                    pick = np.arange(first, len(h), STRIDE)
-                    held.value.counts(contexts(h, n)[:, pick], held.value.slots(h[pick]), total)
-            pieces = [x.tobytes() for x in np.array_split(total.astype(np.float32), PARTS)]
+                    held.value.counts(contexts(h, n), held.value.slots(h), *total)
+            pieces = [x.tobytes() for x in np.array_split(total.ravel().astype(np.float32), PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["part", "piece", "values"])
 
-        model.step(_tree_sum(rows.mapInArrow(work, "part int, piece int, values binary"), rows.rdd.getNumPartitions()))
+        total = _tree_sum(rows.mapInArrow(work, "part int, piece int, values binary"), rows.rdd.getNumPartitions()).reshape(tables, size)
+        observed = total[1] if observed is None else observed
+        model.step(total[0], observed)
         held.unpersist()
     return model
 

@@ -391,3 +391,13 @@ def test_lm_learns_and_sums_to_one(spark):
     ctx = np.repeat(lm.contexts(np.array([3], np.uint64), np.array([1])), lm.CLASSES * lm.WIDTH + 1, axis=1)
     total = (10 ** model.log10(ctx, np.arange(lm.CLASSES * lm.WIDTH + 1))).sum()
     assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_trains_on_every_token(spark):
+    text = " ".join(f"w{i}" for i in range(15))  # with its end, 16 tokens
+    docs = spark.createDataFrame([(i, text, None, None, 0) for i in range(64)], SCHEMA)
+    h, n = lm.tokens([text])
+    model = lm._start_model(h[:-1], np.full(15, 64), 64, 64 * 16)
+    ctx, slot = lm.contexts(h, n), model.slots(h)
+    before = model.log10(ctx, slot)
+    assert (lm._train(docs, F.lit(True), model).log10(ctx, slot) > before + 0.01).all()
