@@ -8,11 +8,14 @@ and large is where the subsets' cost passes that of the postings. Sets that are
 No list is expanded into its pairs. First every member meets one leader of the list; the links found give components.
 Then only lists that still hold several components are looked at again, in blocks of bounded size, where pairs of one
 component, of unfit sizes, or that a 512-bit parity sketch proves too different are left out. Whatever remains is
-compared exactly. So no link between different components is lost, and copies are never multiplied out.
+compared exactly. So no link between different components is lost, and copies are never multiplied out. Where every link
+counts (graph, and the query), pairs of one component are compared as well: each pair of different sets that link is found
+once, and equal sets are counted by their number.
 
 Defined results: null text, or text without words, has an empty set, linked with nothing; a text of fewer than k words
 is one shingle; rows with null doc_id are returned with null component; rows with equal doc_id are one node of the graph;
-other columns are ignored.
+other columns are ignored. n_links is the number of other rows that a row's set links with: null for a null doc_id, and rows
+with null doc_id aren't counted; rows of one doc_id link by their own sets.
 """
 
 from __future__ import annotations
@@ -102,6 +105,13 @@ def shingles(texts: list, k: int, weight: np.ndarray | None = None) -> tuple[np.
     return h[new], np.bincount(doc[new], minlength=len(texts)), w[new].astype(np.int64)
 
 
+def _names(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The two halves of each set's 128-bit name."""
+    start = np.cumsum(n) - n
+    run = lambda x: np.concatenate([[np.uint64(0)], np.cumsum(x)])
+    return [np.subtract(t[start + n], t[start]) for t in (run(mix64(h ^ _M1)), run(mix64(h ^ _M2)))]
+
+
 def _census(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, dict[int, int]]:
     """Logarithms of the word-frequency counters over all documents, and the number of sets of each size up to MOST_SMALL."""
 
@@ -137,9 +147,7 @@ def _signatures(docs: DataFrame, rule: Rule, weight: np.ndarray, small: int) ->
             for a, b in slices(texts):
                 h, n, w = shingles(texts[a:b], rule.k, held.value)
                 start, doc = np.cumsum(n) - n, np.repeat(np.arange(b - a), n)
-                run = lambda x: np.concatenate([[np.uint64(0)], np.cumsum(x)])
-                m1, m2 = mix64(h ^ _M1), mix64(h ^ _M2)
-                names = [np.subtract(t[start + n], t[start]) for t in (run(m1), run(m2))]
+                m1, names = mix64(h ^ _M1), _names(h, n)
                 bits = (np.bincount(doc * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * (b - a)) & 1).astype(np.uint8).reshape(-1, 512)
                 bits = list(np.packbits(bits, axis=1, bitorder="little").view(np.int64))
                 for i in np.flatnonzero(n > SKETCHED):
@@ -164,7 +172,7 @@ def _signatures(docs: DataFrame, rule: Rule, weight: np.ndarray, small: int) ->
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """d, s: the sets of the documents with the given ids."""
+    """d, k1, k2, s: the sets of the documents with the given ids, and their names."""
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
     rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "d", "left_semi")
 
@@ -173,10 +181,11 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 h, n, _ = shingles(texts[a:b], rule.k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.split(h.view(np.int64), np.cumsum(n)[:-1]), pa.list_(pa.int64()))], ["d", "s"])
+                names = [pa.array(x.view(np.int64)) for x in _names(h, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *names, pa.array(np.split(h.view(np.int64), np.cumsum(n)[:-1]), pa.list_(pa.int64()))], ["d", "k1", "k2", "s"])
         tidy()
 
-    return rows.mapInArrow(work, "d long, s array<long>")
+    return rows.mapInArrow(work, "d long, k1 long, k2 long, s array<long>")
 
 
 def _sizes_fit(rule: Rule, a: str, b: str) -> Column:
@@ -208,11 +217,13 @@ def _sketched(pairs: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Those of pairs (a, b) that link, by their whole sets."""
+    """a, b, p, q: those of pairs (a, b) that link, by their whole sets, and the names of the sets, p before q."""
     sets = cut(_sets(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()), rule))
-    both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b")
+    name = F.struct("k1", "k2")
+    both = pairs.join(sets.select(F.col("d").alias("a"), name.alias("u"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), name.alias("v"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(common * rule.den >= (F.size("x") + F.size("y") - common) * rule.num).select("a", "b").distinct())
+    linked = both.where((common > 0) & (common * rule.den >= (F.size("x") + F.size("y") - common) * rule.num))
+    return cut(linked.select("a", "b", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q")).distinct())
 
 
 def _block_pairs(rule: Rule):
@@ -238,10 +249,9 @@ def _block_pairs(rule: Rule):
     return work
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def _search(docs: DataFrame, rule: Rule, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set sizes and names, rows with their components, and links: all if whole, or enough to connect."""
     ship(docs.sparkSession)
-    rule = Rule(k, num, den)
     weight, histogram = _census(docs, rule)
     rows = cut(_signatures(docs, rule, weight, rule.boundary(histogram)))
     known = rows.where("d IS NOT NULL AND n > 0")
@@ -260,12 +270,16 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     met = cut(_sketched(pairs, bits, rule))
     links = _links(docs, met, rule)
     # Rows of one doc_id are one node even if their sets differ.
+    several = known.groupBy("d").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo < hi")
     twice = member.groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("d", "a")
-    links = links.unionByName(member.join(twice, "d").select("a", F.col("rep").alias("b")))
-
-    # What is left of lists with several components, all pairs of which haven't met yet.
-    comps = components(links)
-    open_ = lists.where("c > 2").join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
+    same = member.join(twice, "d").select("a", F.col("rep").alias("b"))
+
+    # All pairs that haven't met yet: of every list if whole, else of those that hold several components.
+    open_ = lists.where("c > 2")
+    if whole:
+        open_ = open_.withColumn("comp", F.col("d"))
+    else:
+        open_ = open_.join(components(links.select("a", "b").unionByName(same)), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
     mixed = cut(open_.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t"))
     open_ = cut(open_.join(mixed, "t").join(bits.select("d", _short("bits").alias("bits")), "d").select("t", "c", "d", "n", "comp", "bits"))
     few, right = open_.where(F.col("c") <= SHORT), open_.where(F.col("c") <= SHORT)
@@ -275,13 +289,37 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     long = open_.where(F.col("c") > SHORT).withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     long = long.select("t", "d", "n", "comp", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("home"))
     near = near.unionByName(long.groupBy("t", "i", "j").applyInPandas(_block_pairs(rule), "a long, b long")).distinct().join(met, ["a", "b"], "left_anti")
-    more = _links(docs, cut(_sketched(near, bits, rule)), rule)
+    more = cut(_sketched(near, bits, rule))
+    if whole:  # sets of one doc_id may link with each other
+        more = more.unionByName(several.select(F.col("d").alias("a"), F.col("d").alias("b")))
+    links = links.unionByName(_links(docs, more, rule))
 
-    final = components(links.unionByName(more)).withColumnRenamed("d", "rep")
+    final = components(links.select("a", "b").unionByName(same)).withColumnRenamed("d", "rep")
     of = member.groupBy("d").agg(F.min("rep").alias("rep")).join(final, "rep", "left").select("d", F.coalesce("comp", "rep").alias("comp"))
+    return rows, of, links
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    rows, of, _ = _search(docs, Rule(k, num, den), False)
     return rows.select("d", "n").join(of, "d", "left").select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "d").alias("component_id"))
 
 
+def graph(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Membership and links: doc_id, n_shingles, component_id, set (the name of the row's set) and n_links for each row of
+    docs; and p, q, the names of each pair of different sets that link, once."""
+    rows, of, links = _search(docs, Rule(k, num, den), True)
+    pairs = cut(links.where("p < q").select("p", "q").distinct())
+    rows = rows.select("d", "n", F.struct("k1", "k2").alias("set"))
+    copies = cut(rows.where("d IS NOT NULL AND n > 0").groupBy("set").agg(F.count("*").alias("copies")))
+    ends = pairs.select(F.col("p").alias("set"), F.col("q").alias("other")).unionByName(pairs.select(F.col("q").alias("set"), F.col("p").alias("other")))
+    others = ends.join(copies.withColumnRenamed("set", "other"), "other").groupBy("set").agg(F.sum("copies").alias("others"))
+    counts = copies.join(others, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    n_links = F.when(F.col("d").isNotNull(), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0))
+    out = rows.join(counts, "set", "left").join(of, "d", "left")
+    return out.select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "d").alias("component_id"), "set", n_links.alias("n_links")), pairs
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, all columns, with one document of each component: that of the smallest doc_id (rows without id all stay)."""
     found = cut(join(docs, k, num, den))
@@ -294,5 +332,5 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Whole documents table: three-word shingles, similarity of 0.9 or more."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+    """Whole documents table: three-word shingles, similarity of 0.9 or more; with the number of each document's links."""
+    return graph(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)[0].drop("set")

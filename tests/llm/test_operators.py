@@ -124,6 +124,30 @@ def test_jaccard_edges(spark, docs, none):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, None] and kept.columns == odd.columns
 
 
+def plain_links(rows, k, num, den):
+    sets = []
+    for _, t, *_ in rows:
+        w = words(t)
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    links = lambda x, y: den * len(x & y) >= num * len(x | y) and bool(x and y)
+    live = [i for i, r in enumerate(rows) if r[0] is not None]
+    return [None if r[0] is None else sum(links(sets[i], sets[j]) for j in live if j != i) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("short", [48, 2])
+def test_jaccard_counts_every_link(spark, rows, short, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    odd = [*rows, (10, "its own words of another text", None, None, 0), (3, rows[6][1], None, None, 0), (3, rows[7][1], None, None, 0), (None, rows[6][1], None, None, 0)]
+    want = plain_links(odd, 5, 60, 100)
+    got, pairs = jaccard_join.graph(spark.createDataFrame(odd, SCHEMA), 5, 60, 100)
+    got = got.collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((r[0], n) for r, n in zip(odd, want)) and max(x or 0 for x in want) > 5
+    copies = Counter(r["set"] for r in got if r["doc_id"] is not None and r["n_shingles"])
+    total = sum(2 * copies[r["p"]] * copies[r["q"]] for r in pairs.collect()) + sum(c * (c - 1) for c in copies.values())
+    assert total == sum(x or 0 for x in want)
+
+
 def test_boundary_follows_cost():
     rule = jaccard_join.Rule(3, 90, 100)
     assert rule.need(10, 10) == 10 and rule.prefix(10) == 2
