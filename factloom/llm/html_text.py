@@ -1,7 +1,7 @@
 """Visible text of HTML pages, laid out as a reader sees it.
 
 A tree builder turns tags into opened and closed elements, with the end tags that HTML lets authors leave out; a renderer
-follows it with a stack of contexts. Hidden elements emit nothing; blocks stand on lines of their own, paragraphs,
+follows it with a stack of contexts. Hidden elements emit nothing, of svg its text is shown; blocks stand on lines of their own, paragraphs,
 headings, lists and tables apart by an empty line; list items have a mark and an indent by depth; cells of a table are
 aligned in columns; white space is collapsed except in preformatted text.
 
@@ -24,8 +24,15 @@ from factloom.llm.common import ship
 # Element names by their part in layout.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe noembed noframes xmp".split())
-HIDDEN = RAW | set("head title object video audio canvas svg math datalist map".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
+HIDDEN = (RAW - {"xmp"}) | set("head title object video audio canvas datalist".split())
+#: Hidden within svg and math; what draws text within svg; start tags that end svg and math, unless in one of INNER.
+UNDRAWN = set("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
+DRAWN = ("text", "foreignobject")
+INNER = ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+OUTER = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Start tags that don't end the head.
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure hr".split())
 BLOCK = SPACED | set("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tr caption thead tbody tfoot".split())
 CLOSES_P = BLOCK - set("body html option optgroup tr caption thead tbody tfoot legend".split())
 #: What an opening tag ends if it is open, and the elements that shield it.
@@ -41,12 +48,30 @@ WALLS = {"table", "td", "th", "caption", "html"}
 MAX_PAD = 80
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^"'>])*+)>""", re.S)
-_HIDING = re.compile(r"""\bhidden(?=[\s=/]|\Z)|\bstyle\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|'[^']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)))""", re.I)
-_QUOTED = re.compile(r"""(\b(?!style\b)[\w-]+\s*=\s*)(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+_SELF_CLOSED = re.compile(r"""(?<!=)(?:\A|[\s"']|(?:\A|\s)[^\s"'=]+)/\Z""")
 _START = re.compile(r"""\bstart\s*=\s*["']?(-?\d+)""", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _hides(attrs: str) -> bool:
+    """Whether a hidden attribute or the style hides the element."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    found = _attributes(attrs)
+    style = {k.strip(): v.split("!")[0].strip() for k, _, v in (x.partition(":") for x in found.get("style", "").lower().split(";"))}
+    return "hidden" in found or style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
+
+
 class _Text:
     """Lines of one context: the page, or one cell."""
 
@@ -122,15 +147,27 @@ class Page:
     def indent(self) -> int:
         return 2 * len(self.lists)
 
+    def _foreign(self) -> bool:
+        return bool(self.count.get("svg") or self.count.get("math"))
+
+    def _any(self, names: tuple[str, ...]) -> bool:
+        return any(self.count.get(x) for x in names)
+
     def start(self, tag: str, attrs: str) -> None:
+        if self.count.get("head"):
+            if tag == "head":
+                return
+            if tag not in IN_HEAD:
+                self._close_through("head", set())
+        if tag in OUTER and self._foreign() and not self._any(INNER):
+            while self._foreign():
+                self._pop()
         if tag in VOID:
             if self.hidden_from is None and tag in ("br", "hr"):
                 if tag == "br" and not self.out.parts and not self.out.gap and self.out.lines:
                     self.out.gap = 2
                 self.out.flush(1 if tag == "br" else 2, self.indent)
             return
-        if tag == "body" and self.count.get("head"):
-            self._close_through("head", set())
         if tag in CLOSES_P and self.count.get("p"):
             self._close_through("p", WALLS | {"button"})
         if tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open and self.open[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -162,9 +199,11 @@ class Page:
         self.count[tag] = self.count.get(tag, 0) + 1
         if self.hidden_from is not None:
             return
-        if tag in HIDDEN or (tag == "dialog" and not re.search(r"\bopen\b", attrs, re.I)) or (attrs and _HIDING.search(_QUOTED.sub(r"\1''", attrs))):
+        if tag in HIDDEN or (tag in UNDRAWN and self._foreign()) or (tag == "dialog" and "open" not in _attributes(attrs)) or (attrs and _hides(attrs)):
             self.hidden_from = len(self.open) - 1
             return
+        if tag == "text":
+            self.out.space = True
         if tag in BLOCK:
             self.out.flush(2 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 1, self.indent)
         if tag in ("ul", "ol", "menu", "dir"):
@@ -189,6 +228,8 @@ class Page:
             if len(self.open) == self.hidden_from:
                 self.hidden_from = None
             return
+        if tag == "text":
+            self.out.space = True
         if tag in BLOCK:
             self.out.flush(2 if tag in SPACED and not (tag in ("ul", "ol") and len(self.lists) > 1) else 1, self.indent)
         if tag in ("ul", "ol", "menu", "dir") and self.lists:
@@ -229,10 +270,12 @@ class Page:
             self._close_through(tag, WALLS - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {tag})
 
     def text(self, raw: str) -> None:
-        if self.hidden_from is not None or not raw:
+        if self.open and self.open[-1] == "head" and raw.strip(" \t\n\r\f"):
+            self._close_through("head", set())
+        if self.hidden_from is not None or not raw or (self.count.get("svg") and not self._any(DRAWN)):
             return
-        text = html.unescape(raw) if "&" in raw else raw
-        if self.count.get("pre") or self.count.get("textarea"):
+        text = html.unescape(raw) if "&" in raw and not self.count.get("xmp") else raw
+        if self.count.get("xmp") or self.count.get("pre") or self.count.get("textarea"):
             self.out.verbatim(text, self.indent)
         else:
             self.out.write(text)
@@ -262,6 +305,9 @@ def render(source: str | None) -> str:
             page.end(tag)
             continue
         page.start(tag, m[3])
+        if tag not in VOID and page.open and page.open[-1] == tag and page._foreign() and not page.count.get("foreignobject") and _SELF_CLOSED.search(m[3]):
+            page._pop()
+            continue
         if tag in RAW or tag in ("title", "textarea"):
             low = source.lower() if low is None else low
             if len(low) != len(source):  # lower-casing may lengthen some letters

@@ -174,6 +174,21 @@ def test_html(spark):
     assert html_text.render("<div>" * 50_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<html><head><title>T</title><p>Hello</p></html>", "Hello"), ("<head><meta charset=utf-8><link href=x>Hello", "Hello"), ("<head><style>p{}</style>\n<img src=x><b>x</b>", "x"),
+        ('<p>a <svg width="5"/> b</p>c', "a b\n\nc"), ("a<math/>b", "ab"), ("<svg><title/><path d='M0'/><text x=1>in</text></svg> out", "in out"), ("<svg width=5/><text>t</text></svg>u", "t u"), ("<svg>none<p>para", "para"),
+        ('<div aria-hidden="false">a</div>', "a"), ('<p aria-hidden="true">b', "b"), ('<p data-hidden="1">c', "c"), ('<p style="overflow:hidden !important">d', "d"), ("<p style='hidden'>e", "e"), ("<p title='a hidden b'>f", "f"),
+        ("<p HIDDEN>x</p>y", "y"), ('<p hidden="">x</p>y', "y"), ("<p class=a style=display:none>x</p>y", "y"), ('<p style="color:red; Visibility : hidden !important">x</p>y', "y"), ("<dialog data-open>x</dialog>y", "y"), ("<dialog open>x</dialog>", "x"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>", "x=2"), ("<svg>no<desc>no</desc><defs><text>no</text></defs><text>a</text><text>b</text></svg>", "a b"),
+        ("<xmp>a <b>\n &amp; c</xmp>d", "a <b>\n &amp; c\n\nd"), ("<map name=m>links <a href=x>here</a><area></map>", "links here"),
+    ],
+)
+def test_html_shows_all_visible_text(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_keeps_every_word():
     rng = random.Random(2)
     tags = ["p", "div", "b", "li", "ul", "td", "tr", "table", "h2", "span", "section", "pre"]
