@@ -6,8 +6,9 @@ Documents of one name, reached at one level, are equal, and no two different tex
 blocks and pairs themselves, never to their hashes. (Hashes only carry level-0 names back to the occurrences, after a
 check that no two distinct blocks share one.)
 
-Defined results: null text counts as empty; rows that agree in doc_id and text are one document, returned once; a row
-with null doc_id is kept only if no equal text has an id; other columns are ignored.
+Defined results: null text counts as empty; rows that agree in doc_id and text are one document, returned once,
+unless every row is asked for (as the query does): then each is returned and counted; a row with null doc_id is kept only if
+no equal text has an id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,17 +73,19 @@ def identities(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done).dropDuplicates(["k", "v"])
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each document."""
+def groups(docs: DataFrame, every_row: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row for each document, or for each row of docs."""
     t = docs.select("doc_id", _key(F.col("doc_id")), normal(F.col("text")).alias("t"))
-    t = t.select(F.col("doc_id").cast("long").alias("doc_id"), "k", F.xxhash64("t").alias("v"), F.sha2("t", 256).alias("text_sha256")).dropDuplicates(["k", "v"])
+    t = t.select(F.col("doc_id").cast("long").alias("doc_id"), "k", F.xxhash64("t").alias("v"), F.sha2("t", 256).alias("text_sha256"))
+    if not every_row:
+        t = t.dropDuplicates(["k", "v"])
     rows = cut(t.join(identities(docs), ["k", "v"]))
     sizes = cut(rows.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return rows.join(sizes, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), every_row=True)
 
 
 ORACLE = r"""

@@ -370,6 +370,20 @@ def test_exact_dedup(docs, rows, none, spark, block, monkeypatch):
     assert got == [(3, 3, 1, True), (3, 3, 2, True), (None, 3, 2, False), (None, None, 1, True)]
 
 
+def test_exact_dedup_query_returns_every_row(spark, tmp_path):
+    import duckdb
+
+    long = "long text " * 500
+    odd = [(None, "a", None, None, 0), (3, "a", None, None, 0), (3, "a", None, None, 0), (3, "b", None, None, 0), (None, None, None, None, 0), (None, "", None, None, 0), (4, long, None, None, 0), (4, long, None, None, 0), (5, long, None, None, 0)]
+    spark.createDataFrame(odd, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = exact_dedup.query(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(exact_dedup.ORACLE).fetchall()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == sorted(((a, b, c, e) for a, b, c, _, e in want), key=str)
+    assert len(got) == len(odd)
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------
 
 
