@@ -1,16 +1,23 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the history times that of the token within its class. The most frequent
-types fill CLASSES classes of WIDTH types; all others form one class, within which a type has its smoothed unigram share.
-Both softmaxes add up rows of weights that hashed features of the history select: the previous word, the two previous
-words, and the words two and three back (skips). Weights are trained by distributed gradient updates: in each round every
-partition sums observed and expected feature counts over its tokens, partial sums meet in a reduction tree, and the
-driver takes one step on the fixed-size tables. Counts and every gradient round cover all tokens of all training
-documents; the observed counts are the same in each round, so only the first gathers them. Texts are scored in sparse
-numpy batches.
-
-Words are named by 64-bit hashes. Counts of the HEAD most frequent words are broadcast (a fixed bound); other words meet
-theirs in a shuffle join, so every count is exact.
+The whole vocabulary is factored into classes. The most frequent types (up to HEAD) are parted into classes by the company
+they keep: every type sums a random projection of the documents that it occurs in, and the types are bisected along the
+first principal direction of those sums, again and again; the number of classes follows the size of the vocabulary. All
+further types form classes by their hash, about TAIL types each, as many as the vocabulary needs. Classes are factored on:
+each is halved by mass until single types (or hash classes) are left, so a token's probability is a product of two-way
+softmaxes from the classes down to the type, one more halving for twice the vocabulary. Within a hash class a type has its
+smoothed unigram share.
+
+Each softmax adds its bias (the unigram log odds) and one weight for each feature of the history: the previous word and the
+two previous words and, where classes are told apart, the words two and three back (skips). Feature and place in the factoring are hashed together into
+a table whose size follows the number of training tokens. Weights are trained by distributed gradient updates: training
+documents are dealt into ROUNDS disjoint parts, and in each round every partition sums gradient and curvature over all
+tokens of its part, partial sums meet in a reduction tree, and the driver takes one step on the table. So every token of
+every training document counts once, in the counts and in the updates. Texts are scored in sparse numpy batches.
+
+Words are named by 64-bit hashes. What is broadcast has fixed bounds: HEAD types with counts and classes (28 bytes each),
+2**MOST_BUCKETS hash classes and 2**MOST_WEIGHTS weights. Counts of other types meet their words in a shuffle join, so every
+count is exact.
 
 Defined results: null text counts as empty (one token, the end); rows with null doc_id are scored and never teach; rows
 with equal doc_id are rows of their own; without training documents N and V are 0 and the score equals the base score.
@@ -29,19 +36,26 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import bucket_of, cut, hash_words, mix64, ship, slices, tidy
 
-CLASSES, WIDTH = 32, 32
-REST = CLASSES
-#: Rows of the class table and of the word table.
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 12
-ROUNDS, STEP, DAMP = 3, 0.3, 3.0
-#: Words with their counts in the broadcast table, at most (16 bytes each).
+#: Types with counts and classes of their own, at most.
 HEAD = 1 << 18
-#: Partial sums that one task of the reduction tree adds up.
-FAN = 16
-CHUNK, PARTS = 1 << 13, 16
+#: Types of a hash class, about; the most hash classes, as a power of two.
+TAIL, MOST_BUCKETS = 16, 16
+#: Dimensions of the random projection that classes are found by, and the count at which it is half trusted.
+DIMS, TRUST = 16, 30
+#: Training tokens for each weight, at least; the fewest and most weights, as powers of two.
+TOKENS_A_WEIGHT, LEAST_WEIGHTS, MOST_WEIGHTS = 8, 10, 22
+ROUNDS, DAMP = 4, 2.0
+#: Bytes of a stored training token, about: the partial sums of a pass take no more bytes than the tokens that it reads.
+TOKEN_BYTES = 3
+#: Partial sums that one task of the reduction tree adds up; pieces that they are cut into; tokens of a numpy step.
+FAN, PARTS, CHUNK = 16, 16, 1 << 14
+
+#: The first features, n-grams; the others, skips, tell classes apart but not the types of a class.
+NGRAMS = 2
 
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_PLACE, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -54,98 +68,151 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, n + 1
 
 
-def places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index of each hash in a sorted table, -1 if absent."""
+def starts(table: np.ndarray) -> np.ndarray:
+    """Where the hashes with each first bits begin in a sorted table; about one to each start."""
+    bits = max(1, len(table).bit_length())
+    return np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+
+def places(table: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Index of each hash in a sorted table with its starts, -1 if absent."""
     if not len(table):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[at] == h, at, -1)
+        return np.full(len(h), -1, np.int32)
+    at = first.take(h >> np.uint64(64 - (len(first).bit_length() - 1)), mode="clip")
+    seen = table.take(at, mode="clip")
+    todo = np.flatnonzero(seen < h)
+    while len(todo):  # few rounds: hashes are even
+        at[todo] += 1
+        seen[todo] = table.take(at[todo], mode="clip")
+        todo = todo[(seen[todo] < h[todo]) & (at[todo] < len(table))]
+    at[seen != h] = -1
+    return at
 
 
 def contexts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """64-bit feature hashes of each token's history: previous word, two previous words, skips of one and of two."""
+    """32-bit feature hashes of each token's history: previous word, two previous words, skips of one and of two."""
     at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     back = []
     for j in (1, 2, 3):
         prev = np.empty_like(h)
         prev[j:] = h[: len(h) - j]
         back.append(np.where(at >= j, prev, _START))
-    return np.stack([mix64(back[0] ^ _SALT[0]), mix64(mix64(back[0] ^ _SALT[1]) + back[1]), mix64(back[1] ^ _SALT[2]), mix64(back[2] ^ _SALT[3])])
+    return np.stack([(x >> np.uint64(32)).astype(np.uint32) for x in (mix64(back[0] ^ _SALT[0]), mix64(mix64(back[0] ^ _SALT[1]) + back[1]), mix64(back[1] ^ _SALT[2]), mix64(back[2] ^ _SALT[3]))])
+
+
+def buckets_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """The hash class of each word: the first bits of its hash."""
+    return ((h >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
 
 
 @dataclass
-class Model:
-    vocab: np.ndarray  # sorted hashes of the types that have a class of their own
-    slot: np.ndarray  # class * WIDTH + place of each of them
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    class_rows: np.ndarray
-    word_rows: np.ndarray
-
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        at = places(self.vocab, h)
-        return np.where(at >= 0, np.concatenate([self.slot, [0]])[at], REST * WIDTH)
-
-    @staticmethod
-    def _probabilities(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits
-
-    def parts(self, ctx: np.ndarray, slot: np.ndarray):
-        """Feature rows and probabilities of the classes, and of the words of those tokens that have a class."""
-        cls = slot // WIDTH
-        f = (ctx >> np.uint64(32)).astype(np.int64) % CLASS_ROWS
-        p = self.class_bias + self.class_rows[f[0]]
-        for row in f[1:]:
-            p += self.class_rows[row]
-        own = np.flatnonzero(cls < REST)
-        g = ((ctx[:, own] ^ (cls[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)).astype(np.int64) % WORD_ROWS
-        q = self.word_bias[cls[own]]
-        for row in g:
-            q += self.word_rows[row]
-        return cls, f, self._probabilities(p), own, g, self._probabilities(q)
-
-    def log10(self, ctx: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """log10 of each token's class given its history, times that of the word within the class (not for REST)."""
-        out = np.empty(ctx.shape[1])
-        for a in range(0, len(out), CHUNK):
-            s = slot[a : a + CHUNK]
-            cls, _, p, own, _, q = self.parts(ctx[:, a : a + CHUNK], s)
-            part = np.log10(np.maximum(p[np.arange(len(s)), cls], 1e-30))
-            part[own] += np.log10(np.maximum(q[np.arange(len(own)), s[own] % WIDTH], 1e-30))
+class Factoring:
+    """Types, hash classes, and the halvings that lead to them; a halving is named by the first leaf of its right half."""
+
+    types: np.ndarray  # sorted hashes
+    first: np.ndarray  # their starts
+    counts: np.ndarray
+    leaf: np.ndarray  # of each type
+    bits: int
+    bucket_leaf: np.ndarray
+    bucket_mass: np.ndarray
+    left: np.ndarray  # the halving that follows on either side, -1 where a leaf is reached
+    right: np.ndarray
+    bias: np.ndarray
+    inside: np.ndarray  # whether the halving is within one class
+    root: int
+
+    def leaves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place among the types (-1 for others) and leaf of each token."""
+        at = places(self.types, self.first, h)
+        out = np.append(self.leaf, 0)[at]
+        other = np.flatnonzero(at < 0)
+        out[other] = self.bucket_leaf[buckets_of(h[other], self.bits)]
+        return at, out
+
+    def walk(self, weights: np.ndarray, ctx: np.ndarray, leaf: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each leaf's probability given its history; adds gradient + i * curvature of each weight to sums."""
+        out = np.zeros(len(leaf), np.float64)
+        if self.root < 0:
+            return out
+        shift = np.uint32(32 - (len(weights).bit_length() - 1))
+        for a in range(0, len(leaf), CHUNK):
+            ends, all_features = leaf[a : a + CHUNK], ctx[:, a : a + CHUNK]
+            at, part = np.full(len(ends), self.root, np.int32), np.zeros(len(ends), np.float32)
+            for inside, c in ((False, all_features), (True, all_features[:NGRAMS])):
+                here = np.flatnonzero((at >= 0) & (self.inside.take(at, mode="clip") == inside))
+                to, node, depth = ends[here], at[here], 0
+                while len(here):
+                    if depth % 4 == 0:  # the weights of a feature for four halvings on the way are neighbours
+                        near = ((c.take(here, axis=1) ^ (node.view(np.uint32) * _PLACE)) * _SPREAD) >> shift
+                        step = np.zeros(len(here), np.uint32)
+                    goes_right = to >= node
+                    rows = (near ^ step).view(np.int32)
+                    z = weights.take(rows, mode="clip").sum(0) + self.bias.take(node)
+                    lost = np.log1p(np.exp(np.where(goes_right, -z, z).clip(-60, 60)))
+                    part[here] -= lost
+                    if sums is not None:
+                        taken = np.exp(-lost)
+                        each = np.empty(len(here), np.complex64)
+                        each.real, each.imag = np.where(goes_right, 1 - taken, taken - 1), taken * (1 - taken)
+                        np.add.at(sums, rows.ravel(), np.tile(each, len(c)))
+                    node = np.where(goes_right, self.right.take(node), self.left.take(node))
+                    at[here] = node
+                    step, depth = step + step + np.uint32(1) + goes_right, depth + 1
+                    on = np.flatnonzero((node >= 0) & (self.inside.take(node, mode="clip") == inside))
+                    node, here, to, step, near = node[on], here[on], to[on], step[on], near.take(on, axis=1, mode="clip")
             out[a : a + CHUNK] = part
-        return out
-
-    def counts(self, ctx: np.ndarray, slot: np.ndarray, expected: np.ndarray, observed: np.ndarray | None = None) -> None:
-        """Add feature counts, class table then word table, to expected and (unless None) to observed."""
-        nc = CLASS_ROWS * (CLASSES + 1)
-        ec, ew = expected[:nc].reshape(CLASS_ROWS, -1), expected[nc:].reshape(WORD_ROWS, -1)
-        for a in range(0, len(slot), CHUNK):
-            s = slot[a : a + CHUNK]
-            cls, f, p, own, g, q = self.parts(ctx[:, a : a + CHUNK], s)
-            for row in f:
-                self._expected(ec, row, p)
-            for row in g:
-                self._expected(ew, row, q)
-            if observed is not None:
-                observed[:nc] += np.bincount((f * (CLASSES + 1) + cls).ravel(), minlength=nc)
-                observed[nc:] += np.bincount((g * WIDTH + s[own] % WIDTH).ravel(), minlength=len(observed) - nc)
-
-    @staticmethod
-    def _expected(table: np.ndarray, row: np.ndarray, p: np.ndarray) -> None:
-        if len(row):
-            order = np.argsort(row.astype(np.uint16), kind="stable")  # two-byte keys are sorted by radix
-            start = np.flatnonzero(np.diff(row[order], prepend=-1))
-            table[row[order][start]] += np.add.reduceat(p[order], start, axis=0)
-
-    def step(self, expected: np.ndarray, observed: np.ndarray) -> None:
-        """One gradient step: observed minus expected counts, each scaled by their size."""
-        nc = CLASS_ROWS * (CLASSES + 1)
-        by = (STEP * (observed - expected) / (np.maximum(observed, expected) + DAMP)).astype(np.float32)
-        self.class_rows += by[:nc].reshape(self.class_rows.shape)
-        self.word_rows += by[nc:].reshape(self.word_rows.shape)
+        return out / np.log(10)
+
+
+def halvings(mass: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """left, right, bias, inside and root of the halvings of the leaves in order: between classes while there are several, then anywhere."""
+    n, cum = len(mass), np.concatenate([[0.0], np.cumsum(mass)])
+    left, right, bias, inside = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.float32), np.zeros(n + 1, bool)
+    edges = np.flatnonzero(np.diff(cls, prepend=-1))  # the first leaf of each class
+    lo, hi, parent, side, root = np.array([0]), np.array([n]), np.array([-1]), np.array([False]), -1
+    while True:
+        some = hi - lo > 1
+        lo, hi, parent, side = lo[some], hi[some], parent[some], side[some]
+        if not len(lo):
+            return left, right, bias, inside, root
+        half = (cum[lo] + cum[hi]) / 2
+        mid = np.searchsorted(cum, half)
+        mid -= np.abs(cum[np.maximum(mid - 1, 0)] - half) < np.abs(cum[np.minimum(mid, n)] - half)
+        mid = mid.clip(lo + 1, hi - 1)
+        several = cls[lo] != cls[hi - 1]
+        k = np.searchsorted(edges, mid).clip(1, len(edges) - 1) if len(edges) > 1 else np.zeros(len(mid), np.int64)
+        if len(edges) > 1:
+            nearer = np.where((edges[k - 1] > lo) & ((edges[k] >= hi) | (half - cum[edges[k - 1]] < cum[edges[k]] - half)), edges[k - 1], edges[k])
+            mid = np.where(several, nearer, mid)
+        inside[mid] = ~several
+        bias[mid] = np.log((cum[hi] - cum[mid]) / (cum[mid] - cum[lo]))
+        if root < 0:
+            root = int(mid[0])
+        else:
+            left[parent[~side]], right[parent[side]] = mid[~side], mid[side]
+        lo, hi, parent, side = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([mid, mid]), np.repeat([False, True], len(mid))
+
+
+def bisect(vectors: np.ndarray, counts: np.ndarray, levels: int) -> np.ndarray:
+    """Classes of the types, 2**levels at most: each is parted along the first principal direction of its vectors."""
+    cls = np.zeros(len(vectors), np.int64)
+    for _ in range(levels):
+        cls *= 2
+        for k in np.unique(cls):
+            i = np.flatnonzero(cls == k)
+            x, c = vectors[i], counts[i]
+            x -= (c @ x) / c.sum()
+            w = c * c / (c + TRUST)
+            x = x @ np.linalg.eigh((x * w[:, None]).T @ x)[1][:, -1]
+            t = 0.0
+            for _ in range(20):  # two means on a line
+                up = x > t
+                if up.all() or not up.any():
+                    break
+                t = (np.average(x[up], weights=w[up]) + np.average(x[~up], weights=w[~up])) / 2
+            cls[i] += x > t
+    return cls
 
 
 def count_words(docs: DataFrame, training: Column) -> DataFrame:
@@ -162,59 +229,99 @@ def count_words(docs: DataFrame, training: Column) -> DataFrame:
     return docs.where(training).select("text").mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _start_model(h: np.ndarray, c: np.ndarray, ends: int, n: int) -> Model:
-    """The unigram model over the most frequent types."""
-    most = CLASSES * WIDTH
-    top = np.argsort(-c, kind="stable")[: most - 1]
-    hashes, counts = np.concatenate([h[top], [_END]]), np.concatenate([c[top], [ends]])
-    order = np.argsort(-counts, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    slot_count = np.zeros(most + 1)
-    slot_count[: len(counts)] = counts
-    slot_count[most] = max(n - counts.sum(), 0)
-    by_class = np.concatenate([slot_count[:most].reshape(CLASSES, WIDTH).sum(1), [slot_count[most]]])
-    class_bias = np.log((by_class + 0.5) / (by_class.sum() + 1)).astype(np.float32)
-    word_bias = np.log(slot_count[:most].reshape(CLASSES, WIDTH) + 1e-3).astype(np.float32)
-    by_hash = np.argsort(hashes)
-    return Model(hashes[by_hash], by_hash.astype(np.int64), class_bias, word_bias, np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, WIDTH), np.float32))
+def _packed(x: np.ndarray) -> bytes:
+    """float32 numbers rounded to their upper two bytes."""
+    return ((x.view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)).astype(np.uint16).tobytes()
 
 
-def _tree_sum(parts: DataFrame, n: int) -> np.ndarray:
-    """Sum of the partial tables (part, piece, values) of n partitions, FAN at a time."""
+def _unpacked(x: bytes) -> np.ndarray:
+    return (np.frombuffer(x, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def _tree_sum(parts: DataFrame, n: int) -> list[np.ndarray]:
+    """Pieces of the sum of the partial tables (part, piece, values) of n partitions, FAN at a time."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float32) for x in pdf["values"]], axis=0, dtype=np.float64)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN], "piece": [int(pdf["piece"].iloc[0])], "values": [total.astype(np.float32).tobytes()]})
+        total = sum(map(_unpacked, pdf["values"]))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN], "piece": [int(pdf["piece"].iloc[0])], "values": [_packed(total)]})
 
     while n > 1:
         parts, n = parts.groupBy(F.expr(f"part div {FAN}"), "piece").applyInPandas(add, "part int, piece int, values binary"), -(-n // FAN)
-    return np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(parts.collect(), key=lambda r: r["piece"])]).astype(np.float64)
+    return [_unpacked(r["values"]) for r in sorted(parts.collect(), key=lambda r: r["piece"])]
+
 
+def _summed(rows: DataFrame, n_tokens: int, size: int, add) -> np.ndarray:
+    """Sum over all texts of rows (about n_tokens tokens): add(texts, total) adds those of a slice to a float32 table.
+
+    Texts are read by so many tasks that their tables take no more bytes than the texts.
+    """
+    rows = rows.coalesce(max(1, n_tokens * TOKEN_BYTES // (2 * size)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(size, np.float32)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                add(texts[a:b], total)
+        pieces = [_packed(x) for x in np.array_split(total, PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["part", "piece", "values"])
+        tidy()
 
-def _train(docs: DataFrame, training: Column, model: Model) -> Model:
-    sc = docs.sparkSession.sparkContext
-    size, observed = CLASS_ROWS * (CLASSES + 1) + WORD_ROWS * WIDTH, None
-    rows = docs.where(training).select("text")
+    pieces = _tree_sum(rows.mapInArrow(work, "part int, piece int, values binary"), rows.rdd.getNumPartitions())
+    return np.concatenate(pieces) if pieces else np.zeros(size, np.float32)
+
+
+def _signs(h: np.ndarray) -> np.ndarray:
+    """DIMS bits of each hash."""
+    return np.unpackbits(mix64(h).view(np.uint8).reshape(-1, 8)[:, : DIMS // 8], axis=1)
+
+
+def _vectors(rows: DataFrame, types: np.ndarray, n_tokens: int) -> np.ndarray:
+    """For each type, the sum over its occurrences of the mean projected word of their document."""
+    held = rows.sparkSession.sparkContext.broadcast((types, starts(types)))
+
+    def add(texts: list, total: np.ndarray) -> None:
+        h, n = tokens(texts)
+        start = np.cumsum(n) - n
+        mean = np.add.reduceat(_signs(h), start, axis=0, dtype=np.float32) * (2 / n[:, None]) - 1
+        at, doc = places(*held.value, h), np.repeat(np.arange(len(n)), n)
+        for a in range(0, len(h), CHUNK):
+            known = np.flatnonzero(at[a : a + CHUNK] >= 0) + a
+            rows = (at[known] * DIMS)[:, None] + np.arange(DIMS)
+            np.add.at(total, rows.ravel(), mean[doc[known]].astype(np.float32).ravel())
+
+    return _summed(rows, n_tokens, len(types) * DIMS, add).reshape(-1, DIMS)
+
+
+def factor(types: np.ndarray, counts: np.ndarray, cls: np.ndarray, bits: int, bucket_mass: np.ndarray) -> Factoring:
+    """The factoring of sorted types with their counts and classes, and of hash classes with their masses (a class by themselves)."""
+    mass = np.concatenate([counts + 1.0, bucket_mass])
+    cls = np.concatenate([cls, np.full(len(bucket_mass), cls.max(initial=0) + 1)])
+    order = np.lexsort((-mass, cls))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return Factoring(types, starts(types), counts, place[: len(types)], bits, place[len(types) :], np.log10(bucket_mass), *halvings(mass[order], cls[order]))
+
+
+def _train(rows: DataFrame, lm: Factoring, n_tokens: int) -> np.ndarray:
+    """The weights after one pass over all of rows (doc_id, text), a part in each round."""
+    sc = rows.sparkSession.sparkContext
+    size = 1 << min(MOST_WEIGHTS, max(LEAST_WEIGHTS, (n_tokens // TOKENS_A_WEIGHT).bit_length() - 1))
+    known, weights = sc.broadcast(lm), np.zeros(size, np.float32)
     for k in range(ROUNDS):
-        held, tables = sc.broadcast(model), 1 if k else 2  # expected counts, and observed ones in the first round
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            total = np.zeros((tables, size))
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in slices(texts):
-                    h, n = tokens(texts[a:b])
-                    held.value.counts(contexts(h, n), held.value.slots(h), *total)
-            pieces = [x.tobytes() for x in np.array_split(total.ravel().astype(np.float32), PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["part", "piece", "values"])
-
-        total = _tree_sum(rows.mapInArrow(work, "part int, piece int, values binary"), rows.rdd.getNumPartitions()).reshape(tables, size)
-        observed = total[1] if observed is None else observed
-        model.step(total[0], observed)
+        held = sc.broadcast(weights)
+
+        def add(texts: list, total: np.ndarray) -> None:
+            h, n = tokens(texts)
+            known.value.walk(held.value, contexts(h, n), known.value.leaves(h)[1], total.view(np.complex64))
+
+        part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
+        sums = _summed(part, n_tokens // ROUNDS, 2 * size, add).view(np.complex64)
+        weights = weights + sums.real / (len(_SALT) * sums.imag + np.float32(DAMP))
         held.unpersist()
-    return model
+    return weights
 
 
 def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
@@ -227,48 +334,51 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     seen = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
     level = F.floor(F.log2("c") * 8).cast("int")
-    least, held = None, 0
+    least, held = 1 << 10, 0
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # at most 512 rows
         if held + r["count"] > HEAD:
             break
         least, held = r["level"], held + r["count"]
-    head = counts.where(level >= least).toArrow() if least is not None else counts.limit(0).toArrow()
-    h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    model = _start_model(h, c, ends, n)
+    head = counts.where(level >= least).toArrow()
+    h, c = (np.append(head.column(name).to_numpy(), last) for name, last in (("h", _END.view(np.int64)), ("c", ends)))
+    order = np.argsort(h.view(np.uint64))
+    h, c = h.view(np.uint64)[order], c.astype(np.int64)[order]
+    rest = v - len(h)
+    bits = min(MOST_BUCKETS, max(0, rest // TAIL).bit_length())
+    bucket_mass = np.ones(1 << bits)  # an unknown word's, and for each of its types one more than the count
+    if rest > 0:
+        bucket = F.shiftrightunsigned(F.shiftrightunsigned("h", 1), 63 - bits)
+        for r in counts.where(level < least).groupBy(bucket.alias("b")).agg(F.sum(F.col("c") + 1).alias("m")).collect():  # at most 2**MOST_BUCKETS rows
+            bucket_mass[r["b"]] += r["m"]
+    rows = docs.where(training).select("doc_id", "text")
+    cls = np.zeros(len(h), np.int64)
     if n:
-        model = _train(docs, training, model)
-    known = spark.sparkContext.broadcast((h, c.astype(np.int64), model))
-    listed = set(model.vocab.tolist())
-    own = np.array([x in listed for x in h.tolist()], bool) if len(h) else np.empty(0, bool)
-    # The mass of all types outside the classes, each with one more than its count, and of the unknown word.
-    rest_mass = float((n - ends - c[own].sum()) + (v - (ends > 0) - own.sum()) + 1)
-    log_ends = np.log10(ends + 1)
+        many = np.maximum(c, 1).astype(np.float32)
+        cls = bisect(_vectors(rows.select("text"), h, n) / many[:, None], many, v.bit_length() // 3)
+        tidy()
+    lm = factor(h, c, cls, bits, bucket_mass)
+    model = spark.sparkContext.broadcast((lm, _train(rows, lm, n) if n else np.zeros(1 << LEAST_WEIGHTS, np.float32)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, freq, lm = known.value
+        lm, weights = model.value
         for batch in batches:
             ids, out, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in slices(texts):
                 t, size = tokens(texts[a:b])
                 doc = np.repeat(np.arange(b - a), size)
-                slot = lm.slots(t)
-                logp = lm.log10(contexts(t, size), slot)
-                at = places(hashes, t)
-                end = t == _END
-                log_c = np.where(end, log_ends, np.where(at >= 0, np.log10(np.concatenate([freq, [0]])[at] + 1.0), 0.0))
-                rest = slot == REST * WIDTH
-                logp[rest] += log_c[rest] - np.log10(rest_mass)
+                at, leaf = lm.leaves(t)
+                logp = lm.walk(weights, contexts(t, size), leaf)
+                log_c = np.append(np.log10(lm.counts + 1.0), 0.0)[at]
+                tail = np.flatnonzero(at < 0)
+                logp[tail] -= lm.bucket_mass[buckets_of(t[tail], lm.bits)]
                 add = lambda x: np.bincount(doc, x, b - a)
-                tail = np.flatnonzero((at < 0) & ~end)
                 pair = np.lexsort((t[tail], doc[tail]))
                 td, th = doc[tail][pair], t[tail][pair]
                 new = np.flatnonzero((np.diff(th, prepend=np.uint64(0)) != 0) | (np.diff(td, prepend=-1) != 0))
                 tf = np.diff(np.append(new, len(th)))
                 bounds = np.searchsorted(td[new], np.arange(b - a + 1)).astype(np.int32)
                 tails = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(th[new].view(np.int64)), pa.array(tf.astype(np.int64))], ["h", "tf"]))
-                known_n = add(((at >= 0) | (end & (ends > 0))).astype(np.float64)).astype(np.int64)
+                known_n = add(np.append(lm.counts > 0, False)[at].astype(np.float64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), out.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(known_n), pa.array(add(log_c)), pa.array(add(logp)), tails], ["doc_id", "held_out", "n_tokens", "known", "log_c", "logp", "tails"])
         tidy()
 
