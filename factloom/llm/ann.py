@@ -2,7 +2,8 @@
 
 Vectors are dealt over shards of about SHARD rows; each shard holds TREES sorted arrays of BITS-bit hash strings (signs of
 random projections). A block of queries descends every array to its longest matching prefix, then all trees ascend
-together, one bit at a time, until the ranges under the prefixes hold enough candidates; those are ranked by their exact
+together, one bit at a time, until the ranges under the prefixes hold enough entries, and k different candidates (or all that
+the shard has); those are ranked by their exact
 distance, and the shards' best are merged. Projections are centred on the mean of a bounded, documented sample; every
 valid row is indexed.
 
@@ -56,23 +57,36 @@ class Forest:
         rows = np.argsort(label, axis=1, kind="stable").astype(np.int32)
         return cls(ids, vectors, planes.astype(np.float32), centre, np.take_along_axis(label, rows, 1), rows)
 
+    def ranges(self, t: int, label: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of tree t begin and end that share the labels' prefixes, without the last shift bits."""
+        prefix = label >> shift
+        return np.searchsorted(self.codes[t], prefix << shift), np.searchsorted(self.codes[t], (prefix + 1) << shift)
+
+    def others(self, low: np.ndarray, high: np.ndarray, own: int) -> np.ndarray:
+        """Distinct rows of those entries, but for the query's own."""
+        found = np.unique(np.concatenate([self.rows[t, low[t] : high[t]] for t in range(TREES)]))
+        return found[self.ids[found] != own]
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, entries: float, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its id, and the ids and distances of up to k candidates."""
         label = self.labels(queries, self.planes, self.centre)
         enough = max(least, int(entries * len(self.ids)))
         low, high = (np.zeros((TREES, len(queries)), np.int64) for _ in range(2))
-        climbing = np.arange(len(queries))
+        climbing, stopped = np.arange(len(queries)), np.full(len(queries), BITS)
         for shift in range(BITS + 1):
             for t in range(TREES):
-                key, own = self.codes[t] >> shift, label[t, climbing] >> shift
-                low[t, climbing], high[t, climbing] = np.searchsorted(key, own), np.searchsorted(key, own, "right")
-            climbing = climbing[(high - low)[:, climbing].sum(0) < enough]
+                low[t, climbing], high[t, climbing] = self.ranges(t, label[t, climbing], shift)
+            done = (high - low)[:, climbing].sum(0) >= enough
+            stopped[climbing[done]] = shift
+            climbing = climbing[~done]
             if not len(climbing):
                 break
         out = []
         for q in range(len(queries)):
-            found = np.unique(np.concatenate([self.rows[t, low[t, q] : high[t, q]] for t in range(TREES)]))
-            found = found[self.ids[found] != ids[q]]
+            found, shift = self.others(low[:, q], high[:, q], ids[q]), stopped[q]
+            while len(found) < k and shift < BITS:  # entries that repeat across trees, or are the query's own, are no candidates
+                shift += 1
+                found = self.others(*np.transpose([self.ranges(t, label[t, q], shift) for t in range(TREES)]), ids[q])
             distance = np.sqrt(((self.vectors[found] - queries[q]) ** 2).sum(1))
             best = np.lexsort((self.ids[found], distance))[:k]
             out.append((int(ids[q]), self.ids[found][best], distance[best]))

@@ -449,6 +449,16 @@ def test_lm_sums_to_one(bits):
     ctx = np.repeat(lm.contexts(np.array([3], np.uint64), np.array([1])), len(leaves), axis=1)
     for weights in (np.zeros(1 << 10, np.float32), rng.standard_normal(1 << 12).astype(np.float32)):
         total = 10 ** model.walk(weights, ctx, leaves)
+def test_ann_climbs_to_enough_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((44, 16)), 10, axis=0)  # groups of ten equal vectors fill the entries at full depth
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 10 == 0).collect()
+    assert Counter(r["query_id"] for r in got) == {i: 10 for i in range(0, 440, 10)}
+    for q in range(0, 440, 10):
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q][:9] == list(range(q + 1, q + 10))
+
+
         assert total.sum() == pytest.approx(1, abs=1e-4)
         if not weights.any():  # without weights, the unigram shares
             mass = np.concatenate([model.counts + 1.0, 10**model.bucket_mass])
