@@ -190,10 +190,12 @@ def categorical_agreement(spark, sf):
 
 
 @query("""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x NOT IN ('', 'the','a','an','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','be'))) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id AND list_has_any(a.w, b.w)""")
 def text_jaccard(spark, sf):
     t = table(spark, sf, "benchmark")
-    pairs = t.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(t.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("text").alias("y")), "a")
+    words = t.select("item_id", compare.words_of(F.col("text")).alias("w"))
+    pairs = R.token_overlap_join(words.withColumnRenamed("item_id", "a"), "a", words.withColumnRenamed("item_id", "b"), "b", "w", 1).where("a < b")
+    pairs = pairs.join(t.select(F.col("item_id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("item_id").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", "b", F.round(compare.word_overlap(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
