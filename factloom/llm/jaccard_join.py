@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import cut, hash_words, mix64, ship, slices, tidy
 from factloom.llm.components import components
+from factloom.llm.link_counts import linked_copies
 
 #: Counters of word frequencies, 2**SKETCH; only their order matters, so collisions cost time and never a link.
 SKETCH = 18
@@ -320,17 +321,40 @@ def graph(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[D
     return out.select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "d").alias("component_id"), "set", n_links.alias("n_links")), pairs
 
 
+def counts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of docs: the links of graph, counted within components."""
+    rule = Rule(k, num, den)
+    rows, of, links = _search(docs, rule, False)
+    rows = rows.select("d", "n", "k1", "k2")
+    sets = rows.where("d IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    sets = cut(sets.join(of.withColumnRenamed("d", "rep"), "rep"))
+    several = sets.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1").select("comp")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    members = cut(sets.join(several, "comp").join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    elements = _sets(docs, members.select(F.col("rep").alias("d")).distinct(), rule).withColumnRenamed("d", "rep")
+    others = linked_copies(cut(members.join(elements, ["rep", "k1", "k2"])), num, den)
+    found = sets.select("k1", "k2", "copies").join(others, ["k1", "k2"], "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    n_links = F.when(F.col("d").isNotNull(), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0))
+    out = rows.join(found, ["k1", "k2"], "left").join(of, "d", "left")
+    return out.select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "d").alias("component_id"), n_links.alias("n_links"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all columns, with one document of each component: that of the smallest doc_id (rows without id all stay)."""
-    found = cut(join(docs, k, num, den))
-    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("__n"))
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("__d"), "inner").drop("__d", "__n")
-    if stay.where("__n > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    return kept.unionByName(nameless)
+    """docs, all columns, with one document of each component: that of the smallest doc_id (rows without id all stay).
+
+    Where doc_ids repeat, rows are the documents: a row goes only if its own text is linked with one that stays.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    if not named.groupBy(F.col("doc_id").cast("long")).count().where("count > 1").head(1):
+        stay = cut(join(docs, k, num, den)).where("doc_id = component_id").select(F.col("doc_id").alias("__d"))
+        return docs.join(stay, F.col("doc_id").cast("long") == F.col("__d"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    named = cut(named).withColumn("__row", F.monotonically_increasing_id())  # stable: the rows are read from the checkpoint
+    found = join(named.select(F.col("__row").alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = named.select("__row", F.col("doc_id").cast("long").alias("__d"))
+    stay = cut(found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__d", "__row")).alias("best")).select(F.col("best.__row").alias("__row")))
+    return named.join(stay, "__row", "left_semi").drop("__row").unionByName(docs.where("doc_id IS NULL"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Whole documents table: three-word shingles, similarity of 0.9 or more; with the number of each document's links."""
-    return graph(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)[0].drop("set")
+    return counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, common, components, exact_dedup, html_text, jaccard_join, langid, line_dedup, lm, mixing, toxicity
+from factloom.llm import ann, bpe, common, components, exact_dedup, html_text, jaccard_join, langid, line_dedup, link_counts, lm, mixing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,6 +148,45 @@ def test_jaccard_counts_every_link(spark, rows, short, monkeypatch):
     assert total == sum(x or 0 for x in want)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+@pytest.mark.parametrize("k,num,den", [(5, 60, 100), (3, 90, 100), (1, 1, 3)])
+def test_jaccard_counts_links_in_components(spark, rows, block, k, num, den, monkeypatch):
+    monkeypatch.setattr(link_counts, "BLOCK", block)  # 3: components in many blocks
+    monkeypatch.setattr(link_counts, "BIN", 4)
+    odd = [*rows, (10, "its own words of another text", None, None, 0), (3, rows[6][1], None, None, 0), (3, rows[7][1], None, None, 0), (3, rows[7][1], None, None, 0), (None, rows[6][1], None, None, 0)]
+    got = jaccard_join.counts(spark.createDataFrame(odd, SCHEMA), k, num, den).collect()
+    want = Counter((r[0], n) for r, n in zip(odd, plain_links(odd, k, num, den)))
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == want
+    again = jaccard_join.join(spark.createDataFrame(odd, SCHEMA), k, num, den).collect()
+    assert Counter(tuple(r)[:3] for r in got) == Counter(map(tuple, again))
+
+
+@pytest.mark.parametrize("block,heavy", [(512, 1024), (16, 1024), (16, 2)])
+def test_linked_copies(spark, block, heavy, monkeypatch):
+    monkeypatch.setattr(link_counts, "BLOCK", block)
+    monkeypatch.setattr(link_counts, "HEAVY", heavy)
+    rng, sets = random.Random(8), []
+    for c in range(4):  # near copies, a chain, pairs far apart, and one set alone
+        base = rng.sample(range(10**6), 60)
+        for i in range([150, 60, 2, 1][c]):
+            s = base[3 * i % 50 :] + rng.sample(range(10**6), 3 * i % 50 + i) if c == 1 else base[rng.randrange(4) :] + rng.sample(range(10**6), rng.randrange(4))
+            sets.append((c, len(sets), c, len(set(s)), rng.randint(1, 3), rng.randint(0, 5), sorted(set(s))))
+    members = spark.createDataFrame([*sets, sets[0]], "comp long, k1 long, k2 long, n int, copies long, degree long, s array<long>")
+    for num, den in ((90, 100), (80, 100)):
+        got = {r["k1"]: r["others"] for r in link_counts.linked_copies(members, num, den).collect()}
+        links = lambda x, y: den * len({*x} & {*y}) >= num * len({*x} | {*y})
+        assert got == {a[1]: sum(b[4] for b in sets if b[0] == a[0] and b[1] != a[1] and links(a[6], b[6])) for a in sets}
+    assert link_counts.linked_copies(members.limit(0), 90, 100).count() == 0
+
+
+def test_keep_one_judges_rows(spark):
+    a, b, c = ("a b c d e f g", "t u v w x y z", "h i j k l m n")
+    odd = spark.createDataFrame([(1, a, "x", None, 0), (1, b, "x", None, 0), (1, a, "z", None, 0), (2, b, "x", None, 0), (3, c, "x", None, 0), (3, None, "x", None, 0), (None, a, "x", None, 0), (None, a, "x", None, 0)], SCHEMA)
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (3, c), (3, None), (None, a), (None, a)], key=str)
+
+
 def test_boundary_follows_cost():
     rule = jaccard_join.Rule(3, 90, 100)
     assert rule.need(10, 10) == 10 and rule.prefix(10) == 2
@@ -410,6 +449,16 @@ def test_ann(spark, monkeypatch):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), F.lit(True)).count() == 0
 
 
+def test_ann_climbs_to_enough_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((44, 16)), 10, axis=0)  # groups of ten equal vectors fill the entries at full depth
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 10 == 0).collect()
+    assert Counter(r["query_id"] for r in got) == {i: 10 for i in range(0, 440, 10)}
+    for q in range(0, 440, 10):
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q][:9] == list(range(q + 1, q + 10))
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 
 
@@ -430,7 +479,7 @@ def test_lm(spark, docs, rows, none, monkeypatch):
     assert alone["train_tokens"] == 0 and alone["base_score"] == alone["score"] == 0.0
 
 
-def test_lm_learns_and_sums_to_one(spark):
+def test_lm_learns(spark):
     rng = random.Random(6)
     a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
     rows = [(i, " ".join(rng.choice(a if i % 2 else b) for _ in range(100)), None, None, 0) for i in range(400)]
@@ -449,16 +498,6 @@ def test_lm_sums_to_one(bits):
     ctx = np.repeat(lm.contexts(np.array([3], np.uint64), np.array([1])), len(leaves), axis=1)
     for weights in (np.zeros(1 << 10, np.float32), rng.standard_normal(1 << 12).astype(np.float32)):
         total = 10 ** model.walk(weights, ctx, leaves)
-def test_ann_climbs_to_enough_neighbours(spark):
-    rng = np.random.default_rng(4)
-    x = np.repeat(rng.standard_normal((44, 16)), 10, axis=0)  # groups of ten equal vectors fill the entries at full depth
-    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 10 == 0).collect()
-    assert Counter(r["query_id"] for r in got) == {i: 10 for i in range(0, 440, 10)}
-    for q in range(0, 440, 10):
-        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q][:9] == list(range(q + 1, q + 10))
-
-
         assert total.sum() == pytest.approx(1, abs=1e-4)
         if not weights.any():  # without weights, the unigram shares
             mass = np.concatenate([model.counts + 1.0, 10**model.bucket_mass])
