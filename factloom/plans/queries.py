@@ -493,3 +493,195 @@ def outcomes_outer(spark, sf):
     nested = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct("o_orderkey")).alias("outcomes"))
     papers = table(spark, sf, "customer").select("c_custkey", "c_acctbal").join(nested, "c_custkey", "left")
     return O.explode_outcomes(papers.withColumn("outcomes", F.when(F.col("c_acctbal") > 0, F.col("outcomes"))), ["c_custkey"], outer=True)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 3 THEN 0.01 WHEN 2 THEN 0.05 WHEN 1 THEN 0.1 END::DOUBLE AS p_value FROM lineitem""")
+def stars_to_p(spark, sf):
+    """p-values that stars after an estimate stand for."""
+    literal = F.concat(F.col("l_quantity").cast("string"), F.expr("repeat('*', l_linenumber % 4)"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.p_from_stars(literal).alias("p_value"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN turn::INT END AS label, CASE WHEN turn % 2 = 1 THEN turn::INT END AS strict, turn::INT AS loose FROM
+(SELECT conv_id, turn FROM conversations WHERE role IS NOT NULL)""")
+def table_numbers(spark, sf):
+    """The three ways of naming a table number in a text."""
+    c = table(spark, sf, "conversations").where("role IS NOT NULL")
+    n = F.col("turn").cast("string")
+    x = F.concat(F.col("role"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(": table "), n, F.lit(" or table: "), n)).otherwise(F.concat(F.lit(", see Table  "), n, F.lit("B"))))
+    return c.select("conv_id", "turn", *(T.table_number(x, form).alias(form) for form in ("label", "strict", "loose")))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1), ''), NULL) AS stem, 'K' || page_id AS key, 121000000 + page_id AS eppi_id FROM pages""")
+def file_keys(spark, sf):
+    """Keys of paths, and the long id inside a free text."""
+    path = F.concat(F.lit("data/tei/K"), F.col("page_id").cast("string"), F.lit(".tei.xml"))
+    note = F.concat(F.lit("EPPI: "), (F.col("page_id") + 121000000).cast("string"), F.lit(" (p. 12)"))
+    return table(spark, sf, "pages").select("page_id", T.file_key(F.col("url")).alias("stem"), T.file_key(path).alias("key"), T.eppi_id(note).alias("eppi_id"))
+
+
+@query("""SELECT o_orderkey, left(strftime(o_orderdate, '%Y-%m-%d'), 4) AS year, left(o_orderpriority, 100) AS title, 'A' || o_custkey || ', B' || o_custkey AS authors FROM orders""")
+def citations(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_custkey").cast("string")
+    names = F.array(*(F.concat(F.lit(p), k) for p in "ABC"))
+    return o.select("o_orderkey", T.citation(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority"), names).alias("c")).select("o_orderkey", "c.*")
+
+
+@query("""SELECT c_custkey, 'Study ' || c_name || ' of ' || c_mktsegment || ', tables ["' || c_nationkey || '"], 100% {kept}' AS prompt FROM customer""")
+def prompts(spark, sf):
+    """A template with its placeholders filled, lists as JSON; unknown placeholders stay."""
+    tables = F.to_json(F.array(F.col("c_nationkey").cast("string")))
+    return table(spark, sf, "customer").select("c_custkey", T.prompt("Study {name} of {segment}, tables {tables}, 100% {kept}", name=F.col("c_name"), segment=F.col("c_mktsegment"), tables=tables).alias("prompt"))
+
+
+_TEXT_PAIR = """SELECT o_orderkey, lower(trim(o_orderpriority)) AS x, lower(trim(c_mktsegment || ' ' || o_orderpriority)) AS y, o_custkey % 3 AS m FROM orders JOIN customer ON c_custkey = o_custkey"""
+
+
+@query(f"""SELECT o_orderkey, CASE m WHEN 0 THEN 'substring_match' WHEN 1 THEN 'exact_match' ELSE 'llm_missing' END AS reason, m <> 2 AS is_match FROM ({_TEXT_PAIR})""")
+def text_agreement(spark, sf):
+    """Texts that are equal, contained in one another, or missing on one side."""
+    pairs = table(spark, sf, "orders").join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    m, both = F.col("o_custkey") % 3, F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("o_orderpriority"))
+    r = compare.text(F.when(m == 0, F.col("o_orderpriority")).when(m == 1, F.upper(both)), both)
+    return pairs.select("o_orderkey", r.reason.alias("reason"), r.is_match.alias("is_match"))
+
+
+@query("""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x NOT IN ('', 'the','a','an','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','be'))) AS w FROM benchmark),
+p AS (SELECT a.item_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS j FROM t a JOIN t b ON b.item_id = a.item_id + 1)
+SELECT item_id, j > 0.5 AS is_match, CASE WHEN j > 0.5 THEN printf('word_overlap_%.2f', j) ELSE 'text_content_mismatch' END AS reason FROM p""")
+def text_mismatch(spark, sf):
+    """Texts of neighbouring items by the words they share."""
+    t = table(spark, sf, "benchmark")
+    pairs = t.join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("y")), "item_id")
+    return pairs.select("item_id", compare.text(F.col("text"), F.col("y")).alias("r")).select("item_id", "r.is_match", "r.reason")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, TRY_CAST(props AS JSON) IS NULL AS is_empty FROM events""")
+def dict_literals(spark, sf):
+    """Maps written as JSON on even rows and as Python literals on odd ones."""
+    odd = F.regexp_replace(F.replace("props", F.lit('"'), F.lit("'")), r"\bnull\b", "None")
+    m = jsonrepair.as_map(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(odd))
+    return table(spark, sf, "events").select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), (F.size(m) == 0).alias("is_empty"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS key, l_linenumber AS n, l_discount * 10 AS confidence FROM lineitem),
+low AS (SELECT key, count(*) || ' low-confidence tables' AS w FROM t WHERE confidence < 0.5 GROUP BY key),
+twice AS (SELECT key, 'duplicate table numbers: ' || string_agg(CAST(n AS VARCHAR), ', ' ORDER BY CAST(n AS VARCHAR)) AS w FROM (SELECT key, n FROM t GROUP BY key, n HAVING count(*) > 1) GROUP BY key),
+nexts AS (SELECT key, n, lead(n) OVER (PARTITION BY key ORDER BY n) AS m FROM (SELECT DISTINCT key, n FROM t)),
+holes AS (SELECT key, 'missing table numbers: ' || string_agg(CAST(h AS VARCHAR), ', ' ORDER BY h) AS w FROM (SELECT key, unnest(range(n + 1, m)) AS h FROM nexts WHERE m > n + 1) GROUP BY key)
+SELECT key, string_agg(w, '; ' ORDER BY w) AS warnings FROM (SELECT * FROM low UNION ALL SELECT * FROM twice UNION ALL SELECT * FROM holes) GROUP BY key""")
+def discovery_warnings(spark, sf):
+    """Low confidence, repeated numbers and gaps in the numbering of each paper's tables."""
+    from factloom.plans import phases
+
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("string").alias("table_number"), (F.col("l_discount") * 10).alias("confidence"))
+    return phases.discovery_warnings(t).select("key", F.array_join("warnings", "; ").alias("warnings"))
+
+
+_CLASSES = """SELECT l_orderkey AS key, l_linenumber AS table_number, CASE l_returnflag WHEN 'R' THEN 'RESULTS' WHEN 'A' THEN 'DESCRIPTIVE' ELSE 'OTHER' END AS classification, CASE WHEN l_tax > 0 THEN l_tax * 10 END AS confidence FROM lineitem"""
+
+
+def _classes(spark, sf):
+    flag = T.label(F.col("l_returnflag"), {"R": "RESULTS", "A": "DESCRIPTIVE"}, "OTHER")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("table_number"), flag.alias("classification"), F.when(F.col("l_tax") > 0, F.col("l_tax") * 10).alias("confidence"))
+
+
+@query(f"""SELECT key, table_number, classification, confidence FROM ({_CLASSES}) WHERE classification = 'DESCRIPTIVE' OR classification = 'RESULTS' AND coalesce(confidence, 1.0) >= 0.55""")
+def split_classes(spark, sf):
+    """RESULTS tables of enough confidence (a missing one is enough), and DESCRIPTIVE ones."""
+    from factloom.plans import phases
+
+    classes = _classes(spark, sf)
+    found = classes.select("key", "table_number").distinct().select("*", F.lit("t").alias("title"), F.lit("p").alias("location"))
+    results, descriptive = phases.split_classes(classes, found)
+    return results.unionByName(descriptive).select("key", "table_number", "classification", "confidence")
+
+
+@query(f"""SELECT key, count(*) AS total_tables, count(*) FILTER (WHERE classification = 'RESULTS') AS results_tables, count(*) FILTER (WHERE classification = 'DESCRIPTIVE') AS descriptive_tables FROM ({_CLASSES}) GROUP BY key""")
+def class_totals(spark, sf):
+    from factloom.plans import phases
+
+    return phases.class_totals(_classes(spark, sf))
+
+
+@query("""SELECT user_id AS key, event_type AS outcome_name, arg_min(CAST(value AS VARCHAR), event_id) OVER (PARTITION BY user_id, event_type) AS outcome_description, strftime(ts, '%Y-%m-%d') AS table_number, value AS effect_size, CAST(event_id AS VARCHAR) AS literal_text,
+row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events""")
+def flatten_groups(spark, sf):
+    """Statistics grouped by outcome and unnested again, each with its group's name and description."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("value").cast("string").alias("text"), F.date_format("ts", "yyyy-MM-dd").alias("table_number"), F.col("value").alias("effect_size"), F.col("event_id").cast("string").alias("literal_text"), F.lit("").alias("arm"))
+    g = O.group_outcomes(e, ["user_id"], "event_type", "text", "event_id", "table_number", "arm", "arm", ["table_number", "effect_size", "literal_text"])
+    flat = O.flatten_groups(g, "user_id", "user_id")
+    return flat.select("key", "outcome_name", "outcome_description", "table_number", "effect_size", "literal_text", (F.col("pos") + 1).cast("long").alias("n"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS field, o_orderkey, length(o_orderstatus) + o_custkey % 500 = 1 AS differs FROM orders), n AS (SELECT field, count(*) FILTER (WHERE differs) AS n FROM c GROUP BY field)
+SELECT field, o_orderkey FROM c JOIN n USING (field) WHERE differs AND n <= 50""")
+def few_disagreements(spark, sf):
+    """Mismatches of those fields that have only a few."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("field"), "o_orderkey", (F.length("o_orderstatus") + F.col("o_custkey") % 500 != 1).alias("is_match"))
+    return A.disagreements(o, 50).select("field", "o_orderkey")
+
+
+@query("""WITH s AS (SELECT h.n_nationkey AS key, h.c AS human_count, coalesce(m.c, 0) AS llm_count FROM (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY 1) h LEFT JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS c FROM supplier GROUP BY 1) m USING (n_nationkey))
+SELECT key, row_number() OVER (ORDER BY llm_count <> 0, llm_count / human_count, key)::INT AS place FROM s""")
+def worst_first(spark, sf):
+    """Studies in the order of a review: without any machine outcome first, then by recall."""
+    from pyspark.sql import Window
+
+    status = A.study_status(table(spark, sf, "customer").withColumnRenamed("c_nationkey", "key"), table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "key"), "key")
+    return status.select("key", F.row_number().over(Window.orderBy(F.col("status") != "llm_missing", F.col("recall").asc_nulls_last(), "key")).alias("place"))
+
+
+@query("""SELECT l_partkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) WHERE r = 1""")
+def upsert_annotations(spark, sf):
+    """Annotations of two sessions, the latest of each key."""
+    from factloom.sources.sinks import upsert_annotations as upsert
+
+    li = table(spark, sf, "lineitem").withColumn("at", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"))
+    return upsert(li.where("l_linenumber <= 3"), li.where("l_linenumber > 3"), ["l_partkey"], "at").select("l_partkey", "l_orderkey", "l_quantity")
+
+
+@query("""SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 10""")
+def top_values(spark, sf):
+    """The ten most frequent values of a column (the limit is the report's)."""
+    return R.value_counts(table(spark, sf, "orders"), "o_orderstatus", 10).select(F.col("o_orderstatus").alias("value"), "n")
+
+
+@query("""SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority AS human FROM lineitem l JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1) o ON o.o_custkey = l.l_suppkey""")
+def first_human_record(spark, sf):
+    """Machine records with the first human record of their study; those without one are left out."""
+    human = table(spark, sf, "orders").select(F.col("o_custkey").alias("study"), "o_orderkey", "o_orderpriority")
+    llm = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("study"), "l_orderkey", "l_linenumber")
+    return A.match_records(llm, human, "study", [F.col("o_orderkey")])[0].select("l_orderkey", "l_linenumber", F.col("o_orderpriority").alias("human"))
+
+
+@query("""SELECT DISTINCT l_suppkey AS study FROM lineitem WHERE l_suppkey NOT IN (SELECT o_custkey FROM orders)""")
+def records_without_human(spark, sf):
+    """Studies that only the machine has: what a comparison must warn of."""
+    human = table(spark, sf, "orders").select(F.col("o_custkey").alias("study"), "o_orderkey")
+    return A.match_records(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("study")), human, "study", [F.col("o_orderkey")])[1].distinct()
+
+
+@query("""SELECT o_orderkey, o_custkey::VARCHAR AS id, year(o_orderdate)::INT AS year FROM orders WHERE o_custkey % 7 <> 0""")
+def metadata_rows(spark, sf):
+    """Rows of a dimension with a key, its id as text and its year as a number."""
+    from factloom.sources.readers import metadata_rows as rows
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey").cast("string")).alias("key"), "o_custkey", F.date_format("o_orderdate", "yyyy").alias("y"))
+    return rows(o, "key", "o_custkey", "y").select("o_orderkey", F.col("o_custkey").alias("id"), F.col("y").alias("year"))
+
+
+@query("""SELECT c_custkey, to_base64(encode(c_name)) AS image, octet_length(encode(c_name)) / 1024 AS kb FROM customer""")
+def binary_payloads(spark, sf):
+    """Bytes as base64 text, and their size."""
+    x = F.col("c_name").cast("binary")
+    return table(spark, sf, "customer").select("c_custkey", F.base64(x).alias("image"), T.kilobytes(F.octet_length(x)).alias("kb"))
+
+
+@query("""SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf):
+    """The windowed counts of the streaming front end, over a finished table."""
+    from factloom.streaming import watch
+
+    w = watch.event_windows(table(spark, sf, "events"))
+    return w.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 6).alias("total"))
