@@ -258,13 +258,13 @@ def _search(docs: DataFrame, rule: Rule, whole: bool) -> tuple[DataFrame, DataFr
     known = rows.where("d IS NOT NULL AND n > 0")
     nodes = cut(known.groupBy("k1", "k2").agg(F.min("d").alias("rep")))
     member = cut(known.select("d", "k1", "k2").join(nodes, ["k1", "k2"]).select("d", "rep").distinct())
-    reps = known.join(nodes, (F.col("d") == F.col("rep")) & (known.k1 == nodes.k1) & (known.k2 == nodes.k2), "left_semi").select("d", "n", "lists", "bits")
+    reps = cut(known.join(nodes, (F.col("d") == F.col("rep")) & (known.k1 == nodes.k1) & (known.k2 == nodes.k2), "left_semi").select("d", "n", "lists", "bits"))
 
     posting = reps.select("d", "n", F.explode("lists").alias("t"))
+    lists = cut(posting.join(posting.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "t"))
     leader = F.min(F.struct(F.xxhash64("t", "d").alias("h"), F.col("d"), F.col("n")))
-    shared = cut(posting.groupBy("t").agg(F.count("*").alias("c"), leader.alias("lead")).where("c > 1").select("t", "c", F.col("lead.d").alias("first"), F.col("lead.n").alias("m")))
-    lists = cut(posting.join(shared, "t"))
-    bits = cut(reps.select("d", "n", "bits"))
+    lists = cut(lists.join(lists.groupBy("t").agg(leader.alias("lead")).select("t", F.col("lead.d").alias("first"), F.col("lead.n").alias("m")), "t"))
+    bits = reps.select("d", "n", "bits")
 
     # Each member of a list meets its leader.
     pairs = lists.where((F.col("d") != F.col("first")) & _sizes_fit(rule, "n", "m")).select(F.least("d", "first").alias("a"), F.greatest("d", "first").alias("b")).distinct()
