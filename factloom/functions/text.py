@@ -21,7 +21,7 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 def number(c: Column) -> Column:
     """A number written with thousands separators; null if it isn't one."""
-    value = F.expr("try_cast(x AS double)") if isinstance(c, str) else F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+    value = F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     return F.when(~F.isnan(value), value)
 
 
@@ -96,7 +96,7 @@ def file_key(path: Column) -> Column:
 
 
 def token_estimate(c: Column) -> Column:
-    return F.expr("0") if c is None else F.floor(F.length(c) / 4).cast("long")
+    return F.floor(F.length(c) / 4).cast("long")
 
 
 def window_share(c: Column, window: int = 200_000) -> Column:

@@ -685,3 +685,32 @@ def event_windows(spark, sf):
 
     w = watch.event_windows(table(spark, sf, "events"))
     return w.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 6).alias("total"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS study_id, o_orderstatus AS author_name, year(o_orderdate)::INT AS year_of_publication, o_orderpriority AS country, 'LLM Extraction' AS coder_name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS extraction_timestamp, '1.0' AS extraction_version, CAST(NULL AS DOUBLE) AS effect_size FROM orders""")
+def flat_estimates(spark, sf):
+    """Nested estimate records with only their required fields, on one level."""
+    from factloom.plans import records
+
+    given = {"study_id": F.col("o_orderkey"), "author_name": F.col("o_orderstatus"), "year_of_publication": F.year("o_orderdate"), "country": F.col("o_orderpriority")}
+    flat = records.flat_records(records.empty_records(table(spark, sf, "orders"), given, F.col("o_orderdate")))
+    return flat.select("study_id", "author_name", "year_of_publication", "country", "coder_name", "extraction_timestamp", "extraction_version", "effect_size")
+
+
+@query("""SELECT l_orderkey AS key, l_linenumber::VARCHAR AS table_number, arg_max(l_returnflag, (l_quantity, l_extendedprice, l_partkey)) AS title FROM lineitem GROUP BY ALL""")
+def table_contexts(spark, sf):
+    """What a classifier is shown of each paper's tables, by number; the last of repeated numbers counts."""
+    from factloom.plans import records
+
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("string").alias("table_number"), F.struct("l_quantity", "l_extendedprice", "l_partkey").alias("pos"), F.col("l_returnflag").alias("title"), F.lit(None).cast("string").alias("location"))
+    return records.table_contexts(t).select("key", F.explode("contexts").alias("table_number", "c")).select("key", "table_number", F.col("c.title").alias("title"))
+
+
+@query("""SELECT l_orderkey AS key, count(DISTINCT l_linenumber) FILTER (WHERE l_returnflag = 'R') AS tei_tables, count(DISTINCT l_linenumber) FILTER (WHERE l_returnflag <> 'R') AS pdf_tables, count(*) AS outcomes,
+count(DISTINCT l_linenumber) FILTER (WHERE l_returnflag = 'R') + count(DISTINCT l_linenumber) FILTER (WHERE l_returnflag <> 'R') AS total_tables FROM lineitem GROUP BY 1""")
+def merge_summary(spark, sf):
+    """Tables and outcomes that each source gave."""
+    from factloom.plans import records
+
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("table_number"), "l_returnflag")
+    return records.merge_summary(O.merge_sources(t.where("l_returnflag = 'R'"), t.where("l_returnflag <> 'R'")))

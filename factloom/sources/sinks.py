@@ -85,6 +85,27 @@ def completeness_report(fields: DataFrame, papers: int, outcomes: int) -> str:
     return report("Completeness", rows + [(r["field"], f"{r['non_null']}/{r['total']} ({r['pct']:.1f}%)") for r in fields.collect()])
 
 
+def mapping_report(totals: DataFrame, status: DataFrame) -> str:
+    """Recall of outcome mapping: totals, how many studies have each status (most first), and the studies, worst first."""
+    from factloom.operators.agreement import worst_first
+
+    t = totals.first()
+    counts = status.groupBy("status").count().orderBy(F.desc("count"), "status").collect()
+    key = status.columns[0]
+    studies = [(f"study {r[key]}", f"{r['llm_count']}/{r['human_count']} {r['status']}") for r in worst_first(status, key).collect()]
+    return report("Outcome mapping", [(k, t[k] if t[k] is not None else 0) for k in totals.columns] + [(r["status"], r["count"]) for r in counts] + studies)
+
+
+def comparison_export(comparison: DataFrame, metrics: DataFrame, overall: DataFrame, folder: str) -> str:
+    """The comparison as CSV, its metrics as JSON, and the text report, which is also returned."""
+    one_csv(comparison, f"{folder}/comparison")
+    metrics.write.mode("overwrite").json(f"{folder}/metrics")
+    text = agreement_report(metrics, overall)
+    spark = comparison.sparkSession
+    spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{folder}/report")
+    return text
+
+
 def upsert_annotations(old: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
     """The latest annotation of each key among both."""
     from factloom.operators.reconcile import dedup
