@@ -55,6 +55,7 @@ NGRAMS = 2
 
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_WITHIN = np.int32(1 << 30)
 _PLACE, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -116,10 +117,8 @@ class Factoring:
     bits: int
     bucket_leaf: np.ndarray
     bucket_mass: np.ndarray
-    left: np.ndarray  # the halving that follows on either side, -1 where a leaf is reached
-    right: np.ndarray
+    after: np.ndarray  # the halvings that follow on the left and on the right of each: -1 for a leaf, _WITHIN added within one class
     bias: np.ndarray
-    inside: np.ndarray  # whether the halving is within one class
     root: int
 
     def leaves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,66 +131,66 @@ class Factoring:
 
     def walk(self, weights: np.ndarray, ctx: np.ndarray, leaf: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
         """log10 of each leaf's probability given its history; adds gradient + i * curvature of each weight to sums."""
-        out = np.zeros(len(leaf), np.float64)
+        out = np.zeros(len(leaf), np.float32)
         if self.root < 0:
-            return out
+            return out.astype(np.float64)
         shift = np.uint32(32 - (len(weights).bit_length() - 1))
         for a in range(0, len(leaf), CHUNK):
-            ends, all_features = leaf[a : a + CHUNK], ctx[:, a : a + CHUNK]
-            at, part = np.full(len(ends), self.root, np.int32), np.zeros(len(ends), np.float32)
-            for inside, c in ((False, all_features), (True, all_features[:NGRAMS])):
-                here = np.flatnonzero((at >= 0) & (self.inside.take(at, mode="clip") == inside))
-                to, node, depth = ends[here], at[here], 0
+            to, part = leaf[a : a + CHUNK], out[a : a + CHUNK]
+            at = np.full(len(to), self.root, np.int32)
+            for within, c in ((False, ctx[:, a : a + CHUNK]), (True, ctx[:NGRAMS, a : a + CHUNK])):
+                here = np.flatnonzero(at >= _WITHIN if within else (at >= 0) & (at < _WITHIN))
+                to_, node, lost, depth = to[here], at[here] & ~_WITHIN, part[here], 0
                 while len(here):
                     if depth % 4 == 0:  # the weights of a feature for four halvings on the way are neighbours
                         near = ((c.take(here, axis=1) ^ (node.view(np.uint32) * _PLACE)) * _SPREAD) >> shift
                         step = np.zeros(len(here), np.uint32)
-                    goes_right = to >= node
+                    right = to_ >= node
                     rows = (near ^ step).view(np.int32)
                     z = weights.take(rows, mode="clip").sum(0) + self.bias.take(node)
-                    lost = np.log1p(np.exp(np.where(goes_right, -z, z).clip(-60, 60)))
-                    part[here] -= lost
+                    now = np.log1p(np.exp(np.minimum(np.where(right, -z, z), np.float32(60))))
+                    lost += now
                     if sums is not None:
-                        taken = np.exp(-lost)
+                        taken = np.exp(-now)
                         each = np.empty(len(here), np.complex64)
-                        each.real, each.imag = np.where(goes_right, 1 - taken, taken - 1), taken * (1 - taken)
+                        each.real, each.imag = np.where(right, 1 - taken, taken - 1), taken * (1 - taken)
                         np.add.at(sums, rows.ravel(), np.tile(each, len(c)))
-                    node = np.where(goes_right, self.right.take(node), self.left.take(node))
-                    at[here] = node
-                    step, depth = step + step + np.uint32(1) + goes_right, depth + 1
-                    on = np.flatnonzero((node >= 0) & (self.inside.take(node, mode="clip") == inside))
-                    node, here, to, step, near = node[on], here[on], to[on], step[on], near.take(on, axis=1, mode="clip")
-            out[a : a + CHUNK] = part
-        return out / np.log(10)
+                    node, step, depth = self.after.take(node + node + right), step + step + np.uint32(1) + right, depth + 1
+                    goes_on = (node >= _WITHIN) if within else (node >= 0) & (node < _WITHIN)
+                    ends = np.flatnonzero(~goes_on)
+                    part[here[ends]], at[here[ends]] = lost[ends], node[ends]
+                    on = np.flatnonzero(goes_on)
+                    node, here, to_, lost, step, near = node[on] & ~_WITHIN, here[on], to_[on], lost[on], step[on], near.take(on, axis=1, mode="clip")
+        return out.astype(np.float64) / -np.log(10)
 
 
-def halvings(mass: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """left, right, bias, inside and root of the halvings of the leaves in order: between classes while there are several, then anywhere."""
+def halvings(mass: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """after, bias and root of the halvings of the leaves in order: between classes while there are several, then anywhere."""
     n, cum = len(mass), np.concatenate([[0.0], np.cumsum(mass)])
-    left, right, bias, inside = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.float32), np.zeros(n + 1, bool)
+    after, bias, root = np.full(2 * n + 2, -1, np.int32), np.zeros(n + 1, np.float32), -1
     edges = np.flatnonzero(np.diff(cls, prepend=-1))  # the first leaf of each class
-    lo, hi, parent, side, root = np.array([0]), np.array([n]), np.array([-1]), np.array([False]), -1
+    lo, hi, parent = np.array([0]), np.array([n]), np.array([-1])
     while True:
         some = hi - lo > 1
-        lo, hi, parent, side = lo[some], hi[some], parent[some], side[some]
+        lo, hi, parent = lo[some], hi[some], parent[some]
         if not len(lo):
-            return left, right, bias, inside, root
+            return after, bias, root
         half = (cum[lo] + cum[hi]) / 2
         mid = np.searchsorted(cum, half)
         mid -= np.abs(cum[np.maximum(mid - 1, 0)] - half) < np.abs(cum[np.minimum(mid, n)] - half)
         mid = mid.clip(lo + 1, hi - 1)
         several = cls[lo] != cls[hi - 1]
-        k = np.searchsorted(edges, mid).clip(1, len(edges) - 1) if len(edges) > 1 else np.zeros(len(mid), np.int64)
         if len(edges) > 1:
-            nearer = np.where((edges[k - 1] > lo) & ((edges[k] >= hi) | (half - cum[edges[k - 1]] < cum[edges[k]] - half)), edges[k - 1], edges[k])
-            mid = np.where(several, nearer, mid)
-        inside[mid] = ~several
+            k = np.searchsorted(edges, mid).clip(1, len(edges) - 1)
+            before = (edges[k - 1] > lo) & ((edges[k] >= hi) | (half - cum[edges[k - 1]] < cum[edges[k]] - half))
+            mid = np.where(several, np.where(before, edges[k - 1], edges[k]), mid)
         bias[mid] = np.log((cum[hi] - cum[mid]) / (cum[mid] - cum[lo]))
+        name = np.where(several, mid, mid + _WITHIN).astype(np.int32)
         if root < 0:
-            root = int(mid[0])
+            root = int(name[0])
         else:
-            left[parent[~side]], right[parent[side]] = mid[~side], mid[side]
-        lo, hi, parent, side = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([mid, mid]), np.repeat([False, True], len(mid))
+            after[parent] = name
+        lo, hi, parent = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([2 * mid, 2 * mid + 1])
 
 
 def bisect(vectors: np.ndarray, counts: np.ndarray, levels: int) -> np.ndarray:

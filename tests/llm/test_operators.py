@@ -506,9 +506,10 @@ def test_lm_sums_to_one(bits):
     inside = np.zeros(len(leaves), bool)
     node = np.full(len(leaves), model.root)
     while (live := node >= 0).any():
-        assert not (inside & live & ~model.inside[node]).any()
-        inside |= live & model.inside[node]
-        node = np.where(live, np.where(leaves >= node, model.right[node], model.left[node]), -1)
+        assert not (within & live & (node < lm._WITHIN)).any()
+        within |= live & (node >= lm._WITHIN)
+        at = np.where(live, node & ~lm._WITHIN, 0)
+        node = np.where(live, model.after[2 * at + (leaves >= at)], -1)
 
 
 def test_lm_gradient_is_the_slope():
