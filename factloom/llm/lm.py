@@ -47,6 +47,8 @@ TOKENS_A_WEIGHT, LEAST_WEIGHTS, MOST_WEIGHTS = 8, 10, 22
 ROUNDS, DAMP = 4, 2.0
 #: Bytes of a stored training token, about: the partial sums of a pass take no more bytes than the tokens that it reads.
 TOKEN_BYTES = 3
+#: Tasks of a pass for each core, at most; slices of text between two flushes of a task's sums.
+WAVES, FLUSH = 4, 16
 #: Partial sums that one task of the reduction tree adds up; pieces that they are cut into; tokens of a numpy step.
 FAN, PARTS, CHUNK = 16, 16, 1 << 14
 
@@ -252,18 +254,24 @@ def _tree_sum(parts: DataFrame, n: int) -> list[np.ndarray]:
 def _summed(rows: DataFrame, n_tokens: int, size: int, add) -> np.ndarray:
     """Sum over all texts of rows (about n_tokens tokens): add(texts, total) adds those of a slice to a float32 table.
 
-    Texts are read by so many tasks that their tables take no more bytes than the texts.
+    Texts are read by so many tasks that their tables take no more bytes than the texts, and by WAVES a core at most.
     """
-    rows = rows.coalesce(max(1, n_tokens * TOKEN_BYTES // (2 * size)))
+    tasks = min(n_tokens * TOKEN_BYTES // (2 * size), WAVES * rows.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.coalesce(max(1, tasks))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.float32)
+        total, part, done = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                add(texts[a:b], total)
+                add(texts[a:b], part)
+                done += 1
+                if done % FLUSH == 0:  # many small numbers added to a large one would be lost
+                    total += part
+                    part[:] = 0
+        total += part
         pieces = [_packed(x) for x in np.array_split(total, PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["part", "piece", "values"])
         tidy()
