@@ -334,6 +334,7 @@ def counts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     elements = _sets(docs, members.select(F.col("rep").alias("d")).distinct(), rule).withColumnRenamed("d", "rep")
     others = linked_copies(cut(members.join(elements, ["rep", "k1", "k2"])), num, den)
     found = sets.select("k1", "k2", "copies").join(others, ["k1", "k2"], "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    found = cut(found)  # a join of two plain shuffles can be split where many copies share a set
     n_links = F.when(F.col("d").isNotNull(), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0))
     out = rows.join(found, ["k1", "k2"], "left").join(of, "d", "left")
     return out.select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "d").alias("component_id"), n_links.alias("n_links"))
