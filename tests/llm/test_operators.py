@@ -336,6 +336,15 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, toxicity.fit(none, labels.limit(0), F.lit(True))).count() == 0
 
 
+def test_toxicity_learns_one_text_of_each_id(spark, monkeypatch):
+    seen, boost = [], toxicity.boost
+    monkeypatch.setattr(toxicity, "boost", lambda x, y: seen.append(len(y)) or boost(x, y))
+    rows = [(i, "you scum" if i % 2 else "fine words", None, None, 0) for i in range(40)] + [(1, f"text {j}", None, None, 0) for j in range(200)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, SCHEMA), labels, F.lit(True))
+    assert seen[0] <= 40
+
+
 def test_isotonic_is_monotone():
     x, y = np.arange(50.0), (np.random.default_rng(0).random(50) < np.linspace(0, 1, 50)).astype(float)
     knots, values = toxicity.isotonic(x, y)
