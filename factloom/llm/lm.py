@@ -368,6 +368,7 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, weights = model.value
+        log_counts, known = np.append(np.log10(lm.counts + 1.0), 0.0), np.append(lm.counts > 0, False)
         for batch in batches:
             ids, out, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in slices(texts):
@@ -375,7 +376,7 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
                 doc = np.repeat(np.arange(b - a), size)
                 at, leaf = lm.leaves(t)
                 logp = lm.walk(weights, contexts(t, size), leaf)
-                log_c = np.append(np.log10(lm.counts + 1.0), 0.0)[at]
+                log_c = log_counts[at]
                 tail = np.flatnonzero(at < 0)
                 logp[tail] -= lm.bucket_mass[buckets_of(t[tail], lm.bits)]
                 add = lambda x: np.bincount(doc, x, b - a)
@@ -385,7 +386,7 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
                 tf = np.diff(np.append(new, len(th)))
                 bounds = np.searchsorted(td[new], np.arange(b - a + 1)).astype(np.int32)
                 tails = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(th[new].view(np.int64)), pa.array(tf.astype(np.int64))], ["h", "tf"]))
-                known_n = add(np.append(lm.counts > 0, False)[at].astype(np.float64)).astype(np.int64)
+                known_n = add(known[at].astype(np.float64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), out.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(known_n), pa.array(add(log_c)), pa.array(add(logp)), tails], ["doc_id", "held_out", "n_tokens", "known", "log_c", "logp", "tails"])
         tidy()
 
