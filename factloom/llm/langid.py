@@ -27,6 +27,8 @@ ORDERS = (2, 3)
 MAX_LANGS = 1024
 #: Added to every count.
 ALPHA = 0.5
+#: Languages whose counts a task holds before it hands them on, and numbers of a step of the sparse product: bounds of memory.
+HELD, STEP = 64, 1 << 22
 
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -56,6 +58,12 @@ def _inner(edge: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def count_grams(docs: DataFrame, training: Column) -> DataFrame:
     """lang, bucket, n over all training rows."""
 
+    def hand_on(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, counts in total.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(some), pa.string()), "bucket": some.astype(np.int32), "n": counts[some].astype(np.int64)})
+        total.clear()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -71,12 +79,16 @@ def count_grams(docs: DataFrame, training: Column) -> DataFrame:
                     np.add.at(place, end, -1)
                     kept = np.cumsum(place[:-1]).astype(bool)
                     lang = np.repeat(of, np.diff(edge))
-                    both = np.bincount(lang[kept] << BITS | row[kept], minlength=len(codes) << BITS).reshape(len(codes), -1)
-                    for x, i in codes.items():
-                        total[x] = total[x] + both[i] if x in total else both[i]
-        for x, counts in total.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(some), pa.string()), "bucket": some.astype(np.int32), "n": counts[some].astype(np.int64)})
+                    lang, row = lang[kept], row[kept]
+                    for low in range(0, len(codes), HELD):
+                        names = list(codes)[low : low + HELD]
+                        some = slice(None) if len(codes) <= HELD else (lang >= low) & (lang < low + HELD)
+                        both = np.bincount((lang[some] - low) << BITS | row[some], minlength=len(names) << BITS).reshape(len(names), -1)
+                        for x, own in zip(names, both):
+                            total[x] = total[x] + own if x in total else own.copy()
+                        if len(total) > HELD:
+                            yield from hand_on(total)
+        yield from hand_on(total)
 
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     return rows.mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -98,6 +110,19 @@ def fit(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     return langs, matrix.astype(np.float32)
 
 
+def _sums(matrix: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each text the sum of the matrix's rows at row[start:end], some rows at a time."""
+    out, step = np.zeros((len(start), matrix.shape[1])), max(1, STEP // matrix.shape[1])
+    for a in range(0, len(row), step):
+        part = row[a : a + step]
+        lo, hi = (x.clip(a, a + len(part)) - a for x in (start, end))
+        on = np.flatnonzero(hi > lo)
+        if len(on):
+            rows = np.concatenate([matrix[part].astype(np.float64), np.zeros((1, matrix.shape[1]))])
+            out[on] += np.add.reduceat(rows, np.stack([lo[on], hi[on]], 1).ravel(), axis=0)[::2]
+    return out
+
+
 def score_batch(texts: list, langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Predicted language and its posterior for each text; ties go to the language first in code-point order."""
     names, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -110,9 +135,7 @@ def score_batch(texts: list, langs: list[str], matrix: np.ndarray) -> tuple[list
         rows, edge = gram_buckets([texts[i] for i in live])
         logp = np.zeros((len(live), len(langs)))
         for n, row in zip(ORDERS, rows):
-            start, end = _inner(edge, n)
-            bounds = np.stack([start, np.minimum(end, len(row) - 1)], 1).ravel()
-            logp += np.add.reduceat(matrix[row].astype(np.float64), bounds, axis=0)[::2] * (end > start)[:, None]
+            logp += _sums(matrix, row, *_inner(edge, n))
         logp -= logp.max(1, keepdims=True)
         p = np.exp(logp)
         p /= p.sum(1, keepdims=True)

@@ -375,6 +375,22 @@ def test_langid_batch_equals_single():
         assert one[0] == [name] and one[1][0] == pytest.approx(s)
 
 
+def test_langid_bounds_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdeé ") for _ in range(rng.choice([1, 2, 30, 400]))), f"l{i % 7}", None, 0) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    wide = langid.fit(df, F.lit(True))
+    texts = [t for _, t, *_ in rows]
+    names, scores = langid.score_batch(texts, *wide)
+    monkeypatch.setattr(langid, "STEP", 35)
+    again, close = langid.score_batch(texts, *wide)
+    assert names == again and scores == pytest.approx(close)
+    whole = langid.count_grams(df.coalesce(1), F.lit(True)).collect()
+    monkeypatch.setattr(langid, "HELD", 2)
+    held = langid.count_grams(df.coalesce(1), F.lit(True)).collect()
+    assert sorted(map(tuple, held)) == sorted(map(tuple, whole))
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------
 
 
@@ -512,7 +528,7 @@ def test_lm_sums_to_one(bits):
             mass = np.concatenate([model.counts + 1.0, 10**model.bucket_mass])
             assert total == pytest.approx(mass / mass.sum(), rel=1e-3)
     # Halvings between classes come first on every way.
-    inside = np.zeros(len(leaves), bool)
+    within = np.zeros(len(leaves), bool)
     node = np.full(len(leaves), model.root)
     while (live := node >= 0).any():
         assert not (within & live & (node < lm._WITHIN)).any()
