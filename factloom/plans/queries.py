@@ -623,13 +623,14 @@ def few_disagreements(spark, sf):
 
 
 @query("""WITH s AS (SELECT h.n_nationkey AS key, h.c AS human_count, coalesce(m.c, 0) AS llm_count FROM (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY 1) h LEFT JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS c FROM supplier GROUP BY 1) m USING (n_nationkey))
-SELECT key, row_number() OVER (ORDER BY llm_count <> 0, llm_count / human_count, key)::INT AS place FROM s""")
+SELECT key, row_number() OVER (ORDER BY llm_count <> 0, llm_count / human_count, key)::INT AS place FROM s ORDER BY place LIMIT 100""")
 def worst_first(spark, sf):
-    """Studies in the order of a review: without any machine outcome first, then by recall."""
+    """The first hundred studies in the order of a review (the limit is the report's): without any machine outcome first, then by recall."""
     from pyspark.sql import Window
 
     status = A.study_status(table(spark, sf, "customer").withColumnRenamed("c_nationkey", "key"), table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "key"), "key")
-    return status.select("key", F.row_number().over(Window.orderBy(F.col("status") != "llm_missing", F.col("recall").asc_nulls_last(), "key")).alias("place"))
+    first = A.worst_first(status, "key").limit(100)
+    return first.select("key", F.row_number().over(Window.orderBy(F.col("status") != "llm_missing", F.col("recall").asc_nulls_last(), "key")).alias("place"))
 
 
 @query("""SELECT l_partkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) WHERE r = 1""")
