@@ -5,7 +5,7 @@ rates of capitals, punctuation and obfuscation. The model is fitted on at most `
 bound); every row of the input is scored, over its whole text.
 
 Defined results: null or empty text is scored as a text without words; labels that are null are left out, several labels
-of one doc_id count as toxic if one is, and the least text of a repeated doc_id teaches; without both classes among the labels every score is their share of toxic rows
+of one doc_id count as toxic if one is, and the trees learn from one row (of the least features) of a repeated doc_id; without both classes among the labels every score is their share of toxic rows
 (0 without labels); rows with equal doc_id are separate rows; other columns are ignored.
 """
 
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_rows: int = MAX_R
     """Learn from labelled rows that satisfy teach, a condition on doc_id; max_rows bounds what is broadcast and collected."""
     ship(docs.sparkSession)
     sample = F.broadcast(_sample(labels, teach, max_rows))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_rows: int = MAX_R
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "toxic"])
         tidy()
 
-    got = rows.mapInArrow(dense, "doc_id long, x array<double>, toxic int").orderBy("doc_id").toArrow()
+    got = rows.mapInArrow(dense, "doc_id long, x array<double>, toxic int").groupBy("doc_id").agg(F.min(F.struct("x", "toxic")).alias("r"))
+    got = got.select("doc_id", "r.x", "r.toxic").orderBy("doc_id").toArrow()
     x, y = np.array(got.column("x").to_pylist()), got.column("toxic").to_numpy().astype(np.float64)
     kept = np.arange(len(y)) % CALIBRATE == CALIBRATE - 1
     if len({*y[kept]}) < 2 or len({*y[~kept]}) < 2:
