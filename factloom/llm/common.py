@@ -48,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to a fixed number of tasks: for small rows with much work, which would be gathered in few tasks by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, mod n; null for a null id."""
     return F.when(doc_id.isNotNull(), F.crc32(doc_id.cast("string").cast("binary")) % n)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, hash_words, mix64, ship, slices, tidy
+from factloom.llm.common import cut, hash_words, mix64, ship, slices, spread, tidy
 from factloom.llm.components import components
 from factloom.llm.link_counts import linked_copies
 
@@ -289,7 +289,7 @@ def _search(docs: DataFrame, rule: Rule, whole: bool) -> tuple[DataFrame, DataFr
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     long = open_.where(F.col("c") > SHORT).withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     long = long.select("t", "d", "n", "comp", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("home"))
-    near = near.unionByName(long.groupBy("t", "i", "j").applyInPandas(_block_pairs(rule), "a long, b long")).distinct().join(met, ["a", "b"], "left_anti")
+    near = near.unionByName(spread(long, "t", "i", "j").groupBy("t", "i", "j").applyInPandas(_block_pairs(rule), "a long, b long")).distinct().join(met, ["a", "b"], "left_anti")
     more = cut(_sketched(near, bits, rule))
     if whole:  # sets of one doc_id may link with each other
         more = more.unionByName(several.select(F.col("d").alias("a"), F.col("d").alias("b")))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import cut, spread
 
 #: Sets of a block; differences that count as one more set; sets of components of a single block that are one task.
 BLOCK, HEAVY, BIN = 512, 1024, 2048
@@ -104,5 +104,5 @@ def linked_copies(members: DataFrame, num: int, den: int) -> DataFrame:
     open_ = open_.select("comp", F.col("i_block").alias("block"), *pair, F.lit(0).alias("side")).unionByName(open_.where(other).select("comp", F.col("j_block").alias("block"), *pair, F.lit(1).alias("side")))
     many = many.join(open_, ["comp", "block"]).select(F.col("comp").alias("bin"), "i", "j", "side", "comp", "k1", "k2", "e", "copies", "diff")
 
-    compared = one.unionByName(many).groupBy("bin", "i", "j").applyInPandas(_compare(m), "k1 long, k2 long, others long")
+    compared = spread(one.unionByName(many), "bin", "i", "j").groupBy("bin", "i", "j").applyInPandas(_compare(m), "k1 long, k2 long, others long")
     return compared.unionByName(sure).groupBy("k1", "k2").agg(F.sum("others").alias("others"))
