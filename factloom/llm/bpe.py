@@ -22,18 +22,17 @@ from pyspark.sql import DataFrame
 from factloom.llm.common import ship, slices, tidy
 
 
-
 @dataclass(frozen=True)
 class Room:
     """What a worker's engine may hold: more room, fewer words encoded anew; results are the same."""
 
     #: Characters of text between two looks at the bound of the word cache.
-    slice: int = 1 << 20
+    slice: int = 1 << 19
     #: Words whose ids a worker remembers, and how many of them (met at least twice) stay when there are more or a partition ends.
-    cache: int = 200_000
-    keep: int = 100_000
+    cache: int = 100_000
+    keep: int = 50_000
     #: Sum of squared word lengths that one recursive query takes: its rows over all steps are about half of that.
-    rows: int = 1_500_000
+    rows: int = 700_000
 
 
 #: For an encoder that has its executors to itself: some 300 MB a worker.
