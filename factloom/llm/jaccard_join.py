@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sizes_fit(rule: Rule, a: str, b: str) -> Column:
-    return (F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num) if rule.num else F.lit(True)
+    return (F.least(a, b).cast("long") * rule.den >= F.greatest(a, b).cast("long") * rule.num) if rule.num else F.lit(True)
 
 
 def _halved(v: str, other: str) -> Column:
@@ -202,7 +202,7 @@ def _halved(v: str, other: str) -> Column:
 def _close(rule: Rule) -> Column:
     """Whether the parity sketches x, y allow a link: they differ in at most as many bits as the sets do in shingles."""
     differ = F.aggregate(F.zip_with(_halved("x", "y"), _halved("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
-    total = F.col("m") + F.col("n")
+    total = F.col("m").cast("long") + F.col("n")
     return differ <= total - 2 * F.ceil(total * rule.num / F.lit(rule.num + rule.den) - 1e-9)
 
 
@@ -223,7 +223,7 @@ def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     name = F.struct("k1", "k2")
     both = pairs.join(sets.select(F.col("d").alias("a"), name.alias("u"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), name.alias("v"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    linked = both.where((common > 0) & (common * rule.den >= (F.size("x") + F.size("y") - common) * rule.num))
+    linked = both.where((common > 0) & (common.cast("long") * rule.den >= (F.size("x") + F.size("y") - common).cast("long") * rule.num))
     return cut(linked.select("a", "b", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q")).distinct())
 
 

@@ -76,8 +76,8 @@ def linked_copies(members: DataFrame, num: int, den: int) -> DataFrame:
     centre = members.groupBy("comp").agg(F.max(F.struct("degree", "k1", "k2")).alias("c"))
     centre = members.join(centre, "comp").where("k1 = c.k1 AND k2 = c.k2").select("comp", F.col("s").alias("c")).dropDuplicates(["comp"])
     diff = F.concat(F.array_except("s", "c"), F.array_except("c", "s"))
-    sets = members.join(centre, "comp").select("comp", "k1", "k2", "n", "copies", diff.alias("diff")).withColumn("nd", F.size("diff"))
-    sets = sets.withColumns({"e": (F.col("nd") * m - F.col("n") * (den - num)).cast("long"), "weight": F.lit(1) + F.expr(f"nd div {HEAVY}")})
+    sets = members.join(centre, "comp").select("comp", "k1", "k2", F.col("n").cast("long").alias("n"), "copies", diff.alias("diff")).withColumn("nd", F.size("diff").cast("long"))
+    sets = sets.withColumns({"e": F.col("nd") * m - F.col("n") * (den - num), "weight": F.lit(1) + F.expr(f"nd div {HEAVY}")})
     sets = cut(sets.dropDuplicates(["k1", "k2"]))
     whole = cut(sets.groupBy("comp").agg(F.sum("weight").alias("all"), F.avg("n").alias("mean")))
     sets = sets.join(whole, "comp")
