@@ -4,8 +4,8 @@ Vectors are dealt over shards of about SHARD rows; each shard holds TREES sorted
 random projections). A block of queries descends every array to its longest matching prefix, then all trees ascend
 together, one bit at a time, until the ranges under the prefixes hold enough entries, and k different candidates (or all that
 the shard has); those are ranked by their exact
-distance, and the shards' best are merged. Projections are centred on the mean of a bounded, documented sample; every
-valid row is indexed.
+distance, and the shards' best are merged. Projections are centred on the mean of a sample of about SAMPLE rows, which one
+task takes, so the driver gets one vector whatever the input; every valid row is indexed.
 
 Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or aren't of the most frequent
 length take no part, nor do rows with null vec_id; rows with equal vec_id are candidates each on its own and one query
@@ -93,6 +93,20 @@ class Forest:
         return out
 
 
+def middle(rows: DataFrame, count: int) -> np.ndarray:
+    """Mean of the different rows (vec_id, v) whose hash falls in a share of SAMPLE out of count."""
+
+    def mean(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"v": [np.sort(np.array(pdf["v"].tolist()), axis=0).mean(0)]})  # sorted, so that reruns agree
+
+    place, most = F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)), SAMPLE
+    while not (found := rows.where(place < most).select("vec_id", "v").distinct().groupBy().applyInPandas(mean, "v array<double>").collect()):
+        most *= 16  # few different rows, many times each
+    return np.array(found[0]["v"])
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, entries: float = ENTRIES, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors (vec_id, embedding) that is_query marks."""
     spark = vectors.sparkSession
@@ -103,8 +117,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, entries: float = E
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == lengths["n"])
     shards = -(-lengths["count"] // SHARD)
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
-    centre = spark.sparkContext.broadcast(sample.mean(0))
+    centre = spark.sparkContext.broadcast(middle(rows, lengths["count"]))
     dealt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
 
     def build(pdf):

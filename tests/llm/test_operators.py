@@ -484,6 +484,32 @@ def test_ann_climbs_to_enough_neighbours(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q][:9] == list(range(q + 1, q + 10))
 
 
+def test_ann_sends_the_driver_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 200)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(rng.standard_normal((6400, 64)) + 3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(32, "vec_id")
+    conf = spark.sparkContext._jsc.sc().conf()
+    was = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")  # the sample has 0.1 MB, but 32 tasks' candidates for it have 3
+    try:
+        got = ann.search(vectors, F.col("vec_id") % 800 == 0).collect()
+    finally:
+        conf.set("spark.driver.maxResultSize", was)
+    assert Counter(r["query_id"] for r in got) == {i: 10 for i in range(0, 6400, 800)}
+
+
+def test_ann_middle(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    x = np.random.default_rng(6).standard_normal((2000, 4)) + 3
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    mean = ann.middle(rows, 2000)
+    assert np.abs(mean - 3).max() < 0.8 and (mean == ann.middle(rows.repartition(7), 2000)).all()
+    copies = spark.range(2000).selectExpr("7L AS vec_id", "array(1.0D, 2.0D) AS v")
+    assert ann.middle(copies, 2000).tolist() == [1, 2]
+    assert np.allclose(ann.middle(rows.limit(30), 30), x[:30].mean(0))
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 
 
