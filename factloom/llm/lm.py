@@ -10,12 +10,14 @@ smoothed unigram share.
 
 Each softmax adds its bias (the unigram log odds) and one weight for each feature of the history: the previous word and the
 two previous words and, where classes are told apart, the words two and three back (skips). Feature and place in the factoring are hashed together into
-a table whose size follows the number of training tokens. Weights are trained by distributed gradient updates: training
+a table whose size follows the number of training tokens. Each feature has an area of the table for the halvings between
+classes, and one for each quarter (by mass) of those within classes: tokens are taken by the slice and area by area, so
+what is read and added to stays in the processor's cache. Weights are trained by distributed gradient updates: training
 documents are dealt into ROUNDS disjoint parts, and in each round every partition sums gradient and curvature over all
 tokens of its part, partial sums meet in a reduction tree, and the driver takes one step on the table. So every token of
 every training document counts once, in the counts and in the updates. Texts are scored in sparse numpy batches.
 
-Words are named by 64-bit hashes. What is broadcast has fixed bounds: HEAD types with counts and classes (28 bytes each),
+Words are named by 64-bit hashes. What is broadcast has fixed bounds: HEAD types with counts, classes and ways (about 90 bytes each),
 2**MOST_BUCKETS hash classes and 2**MOST_WEIGHTS weights. Counts of other types meet their words in a shuffle join, so every
 count is exact.
 
@@ -48,12 +50,18 @@ ROUNDS, DAMP = 4, 2.0
 #: Bytes of a stored training token, about: the partial sums of a pass take no more bytes than the tokens that it reads.
 TOKEN_BYTES = 3
 #: Tasks of a pass for each core, at most; slices of text between two flushes of a task's sums.
-WAVES, FLUSH = 4, 16
+WAVES, FLUSH = 4, 8
 #: Partial sums that one task of the reduction tree adds up; pieces that they are cut into; tokens of a numpy step.
 FAN, PARTS, CHUNK = 16, 16, 1 << 14
+#: Characters of a slice of training texts; tokens, and legs of their ways, that are taken area by area together, at most.
+SLICE, STRETCH = 1 << 21, 1 << 18
 
 #: The first features, n-grams; the others, skips, tell classes apart but not the types of a class.
 NGRAMS = 2
+#: Halvings of a leg; a group of legs with one top has 15 halvings, and the weights that a feature has for them are neighbours.
+LEG = 4
+#: Parts, by mass, of the halvings within classes; each has an area for each n-gram.
+QUARTERS = 4
 
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -108,6 +116,32 @@ def buckets_of(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
 
 
+def _turns() -> tuple[np.ndarray, np.ndarray]:
+    """By the end of a leg (places in its group are numbered like a heap): the halvings passed, 15 for none; 1 for right, -1 for left, 0 for none."""
+    step, side = np.full((LEG, 31), 15), np.zeros((LEG, 31), np.float32)
+    for end in range(1, 31):
+        way = [end]
+        while way[-1]:
+            way.append((way[-1] - 1) // 2)
+        for j, (at, to) in enumerate(zip(way[:0:-1], way[-2::-1])):
+            step[j, end], side[j, end] = at, 1 if to == 2 * at + 2 else -1
+    return step, side
+
+
+_STEP, _SIDE = _turns()
+
+
+@dataclass
+class Ways:
+    """The ways to the leaves in legs of LEG halvings: those between classes, then those within one."""
+
+    first: list[np.ndarray]  # of each leaf, where its legs begin, and where the last one's end
+    legs: list[np.ndarray]  # 32 * group + end
+    place: np.ndarray  # of each group: what its top adds to the hash of a feature
+    quarter: np.ndarray
+    bias: np.ndarray  # 16 for each group
+
+
 @dataclass
 class Factoring:
     """Types, hash classes, and the halvings that lead to them; a halving is named by the first leaf of its right half."""
@@ -120,8 +154,8 @@ class Factoring:
     bucket_leaf: np.ndarray
     bucket_mass: np.ndarray
     after: np.ndarray  # the halvings that follow on the left and on the right of each: -1 for a leaf, _WITHIN added within one class
-    bias: np.ndarray
     root: int
+    ways: Ways
 
     def leaves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the types (-1 for others) and leaf of each token."""
@@ -132,38 +166,63 @@ class Factoring:
         return at, out
 
     def walk(self, weights: np.ndarray, ctx: np.ndarray, leaf: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each leaf's probability given its history; adds gradient + i * curvature of each weight to sums."""
-        out = np.zeros(len(leaf), np.float32)
-        if self.root < 0:
-            return out.astype(np.float64)
-        shift = np.uint32(32 - (len(weights).bit_length() - 1))
-        for a in range(0, len(leaf), CHUNK):
-            to, part = leaf[a : a + CHUNK], out[a : a + CHUNK]
-            at = np.full(len(to), self.root, np.int32)
-            for within, c in ((False, ctx[:, a : a + CHUNK]), (True, ctx[:NGRAMS, a : a + CHUNK])):
-                here = np.flatnonzero(at >= _WITHIN if within else (at >= 0) & (at < _WITHIN))
-                to_, node, lost, depth = to[here], at[here] & ~_WITHIN, part[here], 0
-                while len(here):
-                    if depth % 4 == 0:  # the weights of a feature for four halvings on the way are neighbours
-                        near = ((c.take(here, axis=1) ^ (node.view(np.uint32) * _PLACE)) * _SPREAD) >> shift
-                        step = np.zeros(len(here), np.uint32)
-                    right = to_ >= node
-                    rows = (near ^ step).view(np.int32)
-                    z = weights.take(rows, mode="clip").sum(0) + self.bias.take(node)
-                    now = np.log1p(np.exp(np.minimum(np.where(right, -z, z), np.float32(60))))
-                    lost += now
-                    if sums is not None:
-                        taken = np.exp(-now)
-                        each = np.empty(len(here), np.complex64)
-                        each.real, each.imag = np.where(right, 1 - taken, taken - 1), taken * (1 - taken)
-                        np.add.at(sums, rows.ravel(), np.tile(each, len(c)))
-                    node, step, depth = self.after.take(node + node + right), step + step + np.uint32(1) + right, depth + 1
-                    goes_on = (node >= _WITHIN) if within else (node >= 0) & (node < _WITHIN)
-                    ends = np.flatnonzero(~goes_on)
-                    part[here[ends]], at[here[ends]] = lost[ends], node[ends]
-                    on = np.flatnonzero(goes_on)
-                    node, here, to_, lost, step, near = node[on] & ~_WITHIN, here[on], to_[on], lost[on], step[on], near.take(on, axis=1, mode="clip")
-        return out.astype(np.float64) / -np.log(10)
+        """log10 of each leaf's probability given its history; with sums, adds gradient + i * curvature of each weight to them instead."""
+        out = np.zeros(len(leaf))
+        for a in range(0, len(leaf), STRETCH):
+            to, c, part = leaf[a : a + STRETCH], ctx[:, a : a + STRETCH], out[a : a + STRETCH]
+            for within in (False, True):
+                start, legs = self.ways.first[within], self.ways.legs[within]
+                first = start.take(to)
+                many = start.take(to + 1) - first
+                end = np.cumsum(many, dtype=np.int32)
+                if not end[-1]:
+                    continue
+                token = np.repeat(np.arange(len(to), dtype=np.int32), many)
+                leg = legs.take(np.arange(end[-1], dtype=np.int32) + np.repeat(first - (end - many), many))
+                parts = [(token, leg)]
+                if within:
+                    quarter = self.ways.quarter.take(leg >> 5)
+                    parts = [(token.take(on), leg.take(on)) for on in (np.flatnonzero(quarter == q) for q in range(QUARTERS))]
+                for q, (token, leg) in enumerate(parts):
+                    for b in range(0, len(leg), STRETCH):
+                        self._legs(weights, c, token[b : b + STRETCH], leg[b : b + STRETCH], within, q, part, sums)
+        return out / -np.log(10)
+
+    def _legs(self, weights: np.ndarray, ctx: np.ndarray, token: np.ndarray, leg: np.ndarray, within: bool, quarter: int, out: np.ndarray, sums: np.ndarray | None) -> None:
+        """Adds -log of the probability of each leg to out, or what it teaches to sums."""
+        half, end, group = len(weights) // 2, leg & 31, leg >> 5
+        many, size = (NGRAMS, half // (NGRAMS * QUARTERS)) if within else (len(_SALT), half // len(_SALT))
+        shift, place = np.uint32(33 - size.bit_length()), self.ways.place.take(group)
+        step = [x.take(end) for x in _STEP]
+        z, group = np.empty((LEG, len(leg)), np.float32), group.astype(np.int64) << 4
+        for x, at in zip(z, step):
+            self.ways.bias.take(group + at, mode="clip", out=x)
+        areas, near = [], []
+        for f in range(many):
+            begin = half + (f * QUARTERS + quarter) * size if within else f * size
+            areas.append(slice(begin, begin + size))
+            near.append((((ctx[f].take(token) ^ place) * _SPREAD) >> shift).astype(np.int64))
+            for x, at in zip(z, step):
+                x += weights[areas[f]].take(near[f] ^ at, mode="clip")
+        lost, each = np.zeros(len(leg), np.float32), []
+        for x, sides in zip(z, _SIDE):
+            side = sides.take(end)
+            x *= -side
+            np.exp(np.minimum(x, np.float32(60), out=x), out=x)
+            x *= np.abs(side)  # nothing where the leg has ended
+            if sums is None:
+                lost += np.log1p(x)
+                continue
+            taken = 1 / (1 + x)
+            x *= taken
+            each.append(np.empty(len(x), np.complex64))
+            each[-1].real, each[-1].imag = side * x, x * taken
+        if sums is None:
+            out += np.bincount(token, lost, len(out))
+            return
+        for area, hashed in zip(areas, near):
+            for at, values in zip(step, each):
+                np.add.at(sums[area], hashed ^ at, values)
 
 
 def halvings(mass: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -195,6 +254,43 @@ def halvings(mass: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         lo, hi, parent = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([2 * mid, 2 * mid + 1])
 
 
+def ways(after: np.ndarray, bias: np.ndarray, root: int, mass: np.ndarray) -> Ways:
+    """The halvings that lead to each of the leaves in order, as legs."""
+    at, share = np.full(len(mass), root, np.int32), np.cumsum(mass) / mass.sum()
+    first, legs, tops, biases, groups = [], [], [], [], 0
+    for within in (False, True):
+
+        def goes_on(node: np.ndarray) -> np.ndarray:
+            return np.flatnonzero((node >= _WITHIN) if within else (node >= 0) & (node < _WITHIN))
+
+        rounds, many = [], np.zeros(len(mass) + 1, np.int32)
+        leaves = goes_on(at)
+        while len(leaves):
+            top, group = np.unique(at[leaves] & ~_WITHIN, return_inverse=True)
+            table, end, live = np.zeros((len(top), 16), np.float32), np.zeros(len(leaves), np.int32), np.arange(len(leaves))
+            for _ in range(LEG):
+                who = leaves[live]
+                node = at[who] & ~_WITHIN
+                table[group[live], end[live]] = bias[node]
+                right = who >= node
+                end[live] += end[live] + 1 + right
+                at[who] = after[2 * node + right]
+                live = live[goes_on(at[who])]
+            rounds.append((leaves.astype(np.int32), ((groups + group) * 32 + end).astype(np.int32)))
+            many[leaves + 1] += 1
+            tops.append(top)
+            biases.append(table)
+            groups += len(top)
+            leaves = leaves[goes_on(at[leaves])]
+        first.append(np.cumsum(many, dtype=np.int32))
+        legs.append(np.empty(first[-1][-1], np.int32))
+        for k, (leaves, codes) in enumerate(rounds):
+            legs[-1][first[-1][leaves] + k] = codes
+    top = np.concatenate(tops) if tops else np.empty(0, np.int32)
+    quarter = np.minimum(share[top - 1] * QUARTERS, QUARTERS - 1).astype(np.uint8)
+    return Ways(first, legs, top.astype(np.uint32) * _PLACE, quarter, np.concatenate(biases).ravel() if tops else np.empty(0, np.float32))
+
+
 def bisect(vectors: np.ndarray, counts: np.ndarray, levels: int) -> np.ndarray:
     """Classes of the types, 2**levels at most: each is parted along the first principal direction of its vectors."""
     cls = np.zeros(len(vectors), np.int64)
@@ -239,8 +335,8 @@ def _unpacked(x: bytes) -> np.ndarray:
     return (np.frombuffer(x, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
 
 
-def _tree_sum(parts: DataFrame, n: int) -> list[np.ndarray]:
-    """Pieces of the sum of the partial tables (part, piece, values) of n partitions, FAN at a time."""
+def _tree_sum(parts: DataFrame, n: int, size: int) -> np.ndarray:
+    """The sum of the partial tables (part, piece, values) of n partitions, FAN at a time."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(map(_unpacked, pdf["values"]))
@@ -248,7 +344,12 @@ def _tree_sum(parts: DataFrame, n: int) -> list[np.ndarray]:
 
     while n > 1:
         parts, n = parts.groupBy(F.expr(f"part div {FAN}"), "piece").applyInPandas(add, "part int, piece int, values binary"), -(-n // FAN)
-    return [_unpacked(r["values"]) for r in sorted(parts.collect(), key=lambda r: r["piece"])]
+    total, at = np.zeros(size, np.float32), 0
+    for r in sorted(parts.collect(), key=lambda r: r["piece"]):
+        piece = _unpacked(r["values"])
+        total[at : at + len(piece)] = piece
+        at += len(piece)
+    return total
 
 
 def _summed(rows: DataFrame, n_tokens: int, size: int, add) -> np.ndarray:
@@ -265,7 +366,7 @@ def _summed(rows: DataFrame, n_tokens: int, size: int, add) -> np.ndarray:
         total, part, done = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 add(texts[a:b], part)
                 done += 1
                 if done % FLUSH == 0:  # many small numbers added to a large one would be lost
@@ -276,8 +377,7 @@ def _summed(rows: DataFrame, n_tokens: int, size: int, add) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["part", "piece", "values"])
         tidy()
 
-    pieces = _tree_sum(rows.mapInArrow(work, "part int, piece int, values binary"), rows.rdd.getNumPartitions())
-    return np.concatenate(pieces) if pieces else np.zeros(size, np.float32)
+    return _tree_sum(rows.mapInArrow(work, "part int, piece int, values binary"), rows.rdd.getNumPartitions(), size)
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -309,7 +409,8 @@ def factor(types: np.ndarray, counts: np.ndarray, cls: np.ndarray, bits: int, bu
     order = np.lexsort((-mass, cls))
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    return Factoring(types, starts(types), counts, place[: len(types)], bits, place[len(types) :], np.log10(bucket_mass), *halvings(mass[order], cls[order]))
+    after, bias, root = halvings(mass[order], cls[order])
+    return Factoring(types, starts(types), counts, place[: len(types)], bits, place[len(types) :], np.log10(bucket_mass), after, root, ways(after, bias, root, mass[order]))
 
 
 def _train(rows: DataFrame, lm: Factoring, n_tokens: int) -> np.ndarray:
@@ -328,6 +429,9 @@ def _train(rows: DataFrame, lm: Factoring, n_tokens: int) -> np.ndarray:
         sums = _summed(part, n_tokens // ROUNDS, 2 * size, add).view(np.complex64)
         weights = weights + sums.real / (len(_SALT) * sums.imag + np.float32(DAMP))
         held.unpersist()
+        del sums, held, add
+        tidy()
+    known.unpersist()
     return weights
 
 
@@ -364,6 +468,7 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
         cls = bisect(_vectors(rows.select("text"), h, n) / many[:, None], many, v.bit_length() // 3)
         tidy()
     lm = factor(h, c, cls, bits, bucket_mass)
+    tidy()
     model = spark.sparkContext.broadcast((lm, _train(rows, lm, n) if n else np.zeros(1 << LEAST_WEIGHTS, np.float32)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

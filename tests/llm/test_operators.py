@@ -563,6 +563,60 @@ def test_lm_sums_to_one(bits):
         node = np.where(live, model.after[2 * at + (leaves >= at)], -1)
 
 
+def test_lm_walks_by_legs():
+    rng = np.random.default_rng(4)
+    mass, cls = rng.zipf(1.3, 500).clip(max=10**6).astype(float), np.sort(rng.integers(0, 20, 500))
+    after, bias, root = lm.halvings(mass, cls)
+    ways = lm.ways(after, bias, root, mass)
+    for leaf in range(500):
+        for within in (False, True):  # the legs pass the halvings between classes, then those within one, in order
+            for leg in ways.legs[within][ways.first[within][leaf] : ways.first[within][leaf + 1]]:
+                for step, side in zip(lm._STEP[:, leg & 31], lm._SIDE[:, leg & 31]):
+                    if side:
+                        node = root & ~lm._WITHIN if root >= 0 else 0
+                        assert (root >= lm._WITHIN) == within and side == (1 if leaf >= node else -1)
+                        assert ways.bias[(leg >> 5) * 16 + step] == bias[node]
+                        root = after[2 * node + (side > 0)]
+        assert root == -1
+        root = lm.halvings(mass, cls)[2]
+
+
+def test_lm_training_stays_in_the_cache(monkeypatch):
+    rng = np.random.default_rng(5)
+    types = np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1))
+    model = lm.factor(types, rng.zipf(1.3, 5000).clip(max=10**6), rng.integers(0, 16, 5000), 0, np.ones(1))
+    h, n = rng.choice(types, 5000), np.array([5000])
+    size, spans, touched, add = 1 << 20, [], np.zeros(1 << 20, np.complex64), np.add
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(add, name)
+
+        def at(self, to, rows, values):
+            spans.append(int(rows.max()) - int(rows.min()))
+            add.at(to, rows, values)
+
+    monkeypatch.setattr(np, "add", Watched())
+    model.walk(np.zeros(size, np.float32), lm.contexts(h, n), model.leaves(h)[1], touched)
+    # One call adds to an eighth of the table at most, and all of the table is in use.
+    assert spans and max(spans) < size // 8
+    assert all(part.any() for part in np.split(touched, 16))
+
+
+def test_lm_long_texts_go_by_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    types = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1))
+    model = lm.factor(types, rng.integers(1, 1000, 300), rng.integers(0, 5, 300), 2, rng.random(4) * 50 + 1)
+    h, n, weights = rng.choice(types, 1000), np.array([700, 300]), rng.standard_normal(1 << 12).astype(np.float32)
+    ctx, leaf, whole, parts = lm.contexts(h, n), model.leaves(h)[1], np.zeros(1 << 12, np.complex64), np.zeros(1 << 12, np.complex64)
+    scores = model.walk(weights, ctx, leaf)
+    model.walk(weights, ctx, leaf, whole)
+    monkeypatch.setattr(lm, "STRETCH", 128)
+    assert model.walk(weights, ctx, leaf) == pytest.approx(scores, abs=1e-5)
+    model.walk(weights, ctx, leaf, parts)
+    assert np.allclose(parts, whole, atol=1e-3)
+
+
 def test_lm_gradient_is_the_slope():
     rng = np.random.default_rng(1)
     types = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
