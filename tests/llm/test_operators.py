@@ -510,6 +510,43 @@ def test_ann_middle(spark, monkeypatch):
     assert np.allclose(ann.middle(rows.limit(30), 30), x[:30].mean(0))
 
 
+def test_ann_shuffle_and_recall_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 100)  # 200 shards before; each gets every query
+    x = np.random.default_rng(7).standard_normal((20_000, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.length()))
+
+    was = written()
+    got = defaultdict(list)
+    for r in ann.search(vectors, F.col("vec_id") % 10 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert written() - was < 40e6
+    y, hit = x.astype(np.float64), 0
+    for q in range(0, 20_000, 200):
+        d = ((y - y[q]) ** 2).sum(1)
+        hit += len(set(np.argsort(d, kind="stable")[1:11]) & set(got[q]))
+    assert len(got) == 2000 and hit >= 0.9 * 1000
+
+
+def test_ann_repeated_ids_and_huge_vectors(spark):
+    x = np.random.default_rng(8).standard_normal((600, 16)).astype(np.float32)
+    x[300:340] = x[0] + 1e-3 * x[300:340]  # rows of the query's own id
+    x[590:] *= np.float32(1e30)
+    rows = [(0 if 300 <= i < 340 else i, [float(a) for a in v]) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(0, 10, 599)).collect()
+    y = x.astype(np.float64)
+    first = min((list(map(float, x[i])), i) for i in [0, *range(300, 340)])[1]
+    for q, at in ((0, first), (10, 10), (599, 599)):
+        d = sorted((((y[i] - y[at]) ** 2).sum() ** 0.5, r[0]) for i, r in enumerate(rows) if r[0] != q)[:10]
+        found = sorted((r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert len(found) == 10
+        assert sum((Counter(i for _, i in d) & Counter(i for _, i in found)).values()) >= 8
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 
 
